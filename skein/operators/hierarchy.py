@@ -66,14 +66,18 @@ class Contraction:
         self.records.append(rows.select(F.col("child").alias("id"), F.col(anchor).alias("anchor"), delta.alias("delta"), F.lit(spliced).alias("spliced"), *extra))
 
     def contract(self) -> None:
-        links = self._split_loops(self.base)
+        links, size = self._split_loops(self.base), self.base.count()
         for round_no in range(MAX_ROUNDS):
             raked = self.scratch.save(links.join(_children(links, False), F.col("child") == F.col("node"), "left").drop("node"))
             leaves = raked.filter("n IS NULL")
             self._record(leaves, "parent", F.col("w"), False)
             inner = raked.filter("n IS NOT NULL").drop("n")
-            if inner.isEmpty():
+            before, size = size, inner.count()
+            if not size:
                 return
+            if size * 2 <= before:  # raking alone shrinks the tree fast enough
+                links = inner
+                continue
             known = self.scratch.save(inner.join(_children(inner, True).filter("n = 1"), F.col("child") == F.col("node"), "left").drop("node", "n"))
             chosen = known.filter(
                 F.col("first").isNotNull() & (_rank("child", round_no) > _rank("parent", round_no)) & (_rank("child", round_no) > F.xxhash64(F.col("first.child"), F.lit(round_no)))
@@ -95,7 +99,8 @@ class Contraction:
                 *([F.concat(F.coalesce("before", F.array().cast("array<string>")), "seg").alias("seg")] if self.paths else []),
             )
             links = self._split_loops(self.scratch.save(rest))
-            if links.isEmpty():
+            size = links.count()
+            if not size:
                 return
         raise RuntimeError("the links did not contract; were they read differently from round to round?")
 
