@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import encode, leaks
+from skein.llm import encode, leaks, quality
 from skein.sources.tables import table
 
 
@@ -33,7 +33,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bench_items", "item_id", "suite").distinct().join(counts, "item_id", "left").select("suite", "item_id", F.coalesce("documents", F.lit(0).cast("bigint")).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_token_counts, p8_found, p8_items)}
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text: its statistics, its distance from prose and what contributes most to it."""
+    return quality.document_quality(table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_quality(spark, d).filter("NOT prose").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
 
 _LEAKS = r"""
 WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(question, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM bench_items),
