@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import encode, leaks, quality
+from skein.llm import documented, encode, leaks, quality
 from skein.sources.tables import table
 
 
+def _documented(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes", "id", "kind", "name", "file_path", "line_start", "line_end", "metadata_json", "semantic_json")
+    return documented.documented(nodes, table(spark, d, "files", "rel_path", "content"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _documented(spark, d).filter("source = 'record'").select("id")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description of every function that has both."""
+    return _documented(spark, d).filter("code IS NOT NULL AND trim(code) <> ''")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -42,7 +56,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_quality(spark, d).filter("NOT prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
 
 _LEAKS = r"""
 WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(question, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM bench_items),
