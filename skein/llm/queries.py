@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import documented, encode, leaks, quality
+from skein.llm import documented, encode, handwritten, leaks, quality
 from skein.sources.tables import table
 
 
@@ -23,6 +23,15 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _documented(spark, d).filter("code IS NOT NULL AND trim(code) <> ''")
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(table(spark, d, "files", "rel_path", "content"), table(spark, d, "package_files", "content"))
+
+
+def p6_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Files found with and without named evidence, in the repositories used for fitting and in those held out."""
+    return handwritten.validation(table(spark, d, "files", "rel_path", "content"), table(spark, d, "package_files", "content"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -56,7 +65,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_quality(spark, d).filter("NOT prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_validation, p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
 
 _LEAKS = r"""
 WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(question, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM bench_items),
