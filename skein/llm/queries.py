@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import documented, encode, handwritten, leaks, quality
+from skein.llm import documented, encode, handwritten, leaks, quality, syntax
 from skein.sources.tables import table
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that need edits to parse, with the least number of edits, the first line and the likely reason."""
+    return syntax.repaired(table(spark, d, "files", "rel_path", "content"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_files(spark, d).select("rel_path")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Failing files per repository and language."""
+    return syntax.failure_rates(p2_files(spark, d), table(spark, d, "files", "rel_path", "content"))
+
+
 def _documented(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes", "id", "kind", "name", "file_path", "line_start", "line_end", "metadata_json", "semantic_json")
     return documented.documented(nodes, table(spark, d, "files", "rel_path", "content"))
@@ -27,6 +41,11 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.judged(table(spark, d, "files", "rel_path", "content"), table(spark, d, "package_files", "content"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that nobody wrote by hand, without those that don't parse."""
+    return _judged(spark, d).filter("found").select("rel_path").distinct().join(p2_found(spark, d), "rel_path", "left_anti")
+
+
 def p6_validation(spark: SparkSession, d: str) -> DataFrame:
     """Files found with and without named evidence, in the repositories used for fitting and in those held out."""
     return handwritten.validation(table(spark, d, "files", "rel_path", "content"), table(spark, d, "package_files", "content"))
@@ -65,7 +84,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_quality(spark, d).filter("NOT prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_validation, p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_files, p2_rates, p4_found, p4_pairs, p6_found, p6_validation, p7_ids, p7_token_counts, p8_found, p8_items, p9_quality, p9_found)}
 
 _LEAKS = r"""
 WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(question, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM bench_items),
