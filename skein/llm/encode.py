@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.scratch import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -124,7 +126,7 @@ def encode_texts(docs: DataFrame, id_column: str, text_column: str, vocabulary:
         for s in texts:
             yield pd.Series([encoder.encode(t) for t in s], dtype=object)
 
-    return docs.select(F.col(id_column), F.pandas_udf(batches, "array<int>")(F.col(text_column)).alias("ids"))
+    return spread(docs.select(id_column, text_column)).select(F.col(id_column), F.pandas_udf(batches, "array<int>")(F.col(text_column)).alias("ids"))
 
 
 def token_counts(encoded: DataFrame, by: DataFrame, id_column: str, group: str) -> DataFrame:

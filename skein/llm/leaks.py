@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.scratch import spread
+
 SPAN = 12
 BLOCK_PATTERNS = 200_000  # patterns a task holds at a time, about 100 MB
 
@@ -77,7 +79,7 @@ def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, passages: DataF
     distinct = passages.select("passage").distinct()
     blocks = max(1, -(-distinct.count() // block_patterns))
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter("text IS NOT NULL")
-    out = None
+    texts, out = spread(texts), None
     for b in range(blocks):
         part = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
         patterns = spark.sparkContext.broadcast([r[0] for r in part.collect()])  # at most about block_patterns rows
