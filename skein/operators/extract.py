@@ -78,7 +78,7 @@ class Python:
             except (SyntaxError, ValueError, RecursionError) as e:
                 self.found.rows.append({"what": "diagnostic", "message": f"{type(e).__name__}: {e}"})
                 line = getattr(e, "lineno", None) or 1
-                starts = [i for i, x in enumerate(self.text.splitlines()[: line - 1]) if re.match(r"(?:def|class|async|@|import|from|[^\W\d]\w*\s*[:=])", x)]
+                starts = [i for i, x in enumerate(self.text.splitlines()[:line]) if re.match(r"(?:def|class|async|@|import|from|[^\W\d]\w*\s*[:=])", x)]
                 for at in reversed(starts[-20:]):
                     try:
                         return ast.parse("".join(self.text.splitlines(keepends=True)[:at])).body
