@@ -40,7 +40,7 @@ def item_passages(items: DataFrame, id_column: str, text_column: str, span: int
             rows = [(i, " ".join(w[k : k + span])) for i, t in zip(batch["item"], batch["text"]) for w in [words(t)] for k in range(len(w) - span + 1)]
             yield pd.DataFrame(rows, columns=["item", "passage"])
 
-    texts = items.select(F.col(id_column).cast("bigint").alias("item"), F.col(text_column).alias("text"))
+    texts = items.select(F.col(id_column).cast("bigint").alias("item"), F.col(text_column).alias("text")).dropna()
     return texts.mapInPandas(cut, "item bigint, passage string").distinct()
 
 
@@ -78,7 +78,8 @@ def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, passages: DataF
     spark = docs.sparkSession
     distinct = passages.select("passage").distinct()
     blocks = max(1, -(-distinct.count() // block_patterns))
-    texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter("text IS NOT NULL")
+    kind = docs.schema[doc_id].dataType
+    texts = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(doc_text).alias("text")).filter("text IS NOT NULL")  # as text, so that pandas keeps nulls and large numbers
     texts, out = spread(texts), None
     for b in range(blocks):
         part = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
@@ -88,9 +89,9 @@ def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, passages: DataF
             search = Search(patterns.value, span)
             for batch in batches:
                 rows = [(d, p) for d, t in zip(batch["doc"], batch["text"]) for p in search.find(words(t))]
-                yield pd.DataFrame(rows, columns=["doc", "passage"]).astype({"doc": batch["doc"].dtype})
+                yield pd.DataFrame(rows, columns=["doc", "passage"])
 
-        found = texts.mapInPandas(scan, texts.select("doc").schema.add("passage", "string"))
+        found = texts.mapInPandas(scan, "doc string, passage string").select(F.col("doc").cast(kind).alias("doc"), "passage")
         out = found if out is None else out.unionByName(found)
     return out
 
