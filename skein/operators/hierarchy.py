@@ -105,7 +105,8 @@ class Contraction:
         raise RuntimeError("the links did not contract; were they read differently from round to round?")
 
     def expand(self) -> DataFrame:
-        scratch, spark = self.scratch, self.scratch.spark
+        spark = self.scratch.spark
+        scratch = Scratch(spark, "hierarchy")
         roots = self.base.select(F.col("parent").alias("id")).distinct().join(self.base.select(F.col("child").alias("id")), "id", "left_anti")
         start = roots.select("id", F.col("id").alias("root"), F.lit(False).alias("on_loop"), F.lit(False).alias("under_loop"))
         for own in self.loops:
@@ -126,6 +127,7 @@ class Contraction:
                 *([F.when(F.col("spliced"), F.slice("path", F.lit(1), F.greatest(F.lit(0), F.size("path") + F.col("delta")).cast("int"))).otherwise(F.concat("path", "seg", F.array("id"))).alias("path")] if self.paths else []),
             )
             tables.append(scratch.write(new))
+        self.scratch.clear()  # what is read from here on are the tables of the expansion
         return spark.read.schema(schema).parquet(*tables)
 
 
@@ -143,9 +145,6 @@ def hierarchy(pairs: DataFrame, child: str, parent: str, paths: bool = False) ->
     run = Contraction(parent_links(pairs, child, parent), paths)
     run.contract()
     found = run.expand()
-    loops = run.loops[0]
-    for own in run.loops[1:]:
-        loops = loops.unionByName(own)
     on = found.filter("on_loop").groupBy("root").agg(F.min("id").alias("smallest"))
     looped = found.filter("on_loop OR under_loop").join(on, "root").select(
         "id",

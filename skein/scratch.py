@@ -7,6 +7,8 @@ read it back, so that no later plan holds an earlier one.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, True)
+    folder = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -44,8 +48,11 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df))
 
+    def clear(self) -> None:
+        """Delete all tables of this run, once no later plan reads them."""
+        self.drop(self.base)
+
     def drop(self, path: str) -> None:
-        """Delete a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
