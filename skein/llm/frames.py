@@ -91,24 +91,68 @@ def _shorten(tokens: list[str]) -> list[str]:
 # ---- Python
 
 
-def _py_string(text: str, start: int, opened: str) -> int:
-    """Where the string that opens at ``start`` ends; -1 if it doesn't."""
+_PY_STRING = re.compile(r"(?i:[bru]|br|rb|f|fr|rf)?(?:\"\"\"|'''|\"|')")
+_PY_WORD = re.compile(r"\w+")
+_PY_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{(?P<name>[^{}]*)\}|(?P<short>[xuUN])|.)", re.S)
+_PY_CONVERSION = re.compile(r"![rsa]\s*(?=[:}])")
+
+
+def _py_escapes(body: str, is_bytes: bool) -> bool:
+    """Whether the text of a string literal holds only escapes and characters that Python decodes."""
+    if is_bytes:
+        return body.isascii() and not re.search(r"\\x(?![0-9a-fA-F]{2})", re.sub(r"\\[^x]", "", body, flags=re.S))
+    if "\\" in body:
+        for m in _PY_ESCAPE.finditer(body):
+            if m["short"]:
+                return False
+            if m["name"] is not None:
+                try:
+                    m[0].encode("ascii").decode("unicode_escape")
+                except UnicodeError:
+                    return False
+    return True
+
+
+def _py_string(text: str, start: int, opened: str, fields: list[tuple[int, int]]) -> int:
+    """Where the string that opens at ``start`` ends; -1 if it doesn't.
+
+    The expressions in its f-string fields are added to ``fields``; a part of
+    an f-string that can't stand there is added as (place, -1).
+    """
     prefix = opened.rstrip("\"'").lower()
     quote = opened[len(prefix) :]
     at, n = start + len(opened), len(text)
+    formatted, raw = "f" in prefix, "r" in prefix
+    part = at  # begin of the literal text since the last field
+
+    def check(end: int) -> None:
+        if not _py_escapes(text[part:end], "b" in prefix) if not raw else "b" in prefix and not text[part:end].isascii():
+            fields.append((part, -1))
+
     while at < n:
         c = text[at]
         if c == "\\":
-            at += 3 if text.startswith("\r\n", at + 1) else 2
+            if formatted and text[at + 1 : at + 2] in ("{", "}"):
+                at += 1
+            elif formatted and not raw and text.startswith("N{", at + 1):
+                at = text.find("}", at) + 1 or at + 3
+            else:
+                at += 3 if text.startswith("\r\n", at + 1) else 2
         elif text.startswith(quote, at):
+            check(at)
             return at + len(quote)
         elif len(quote) == 1 and c in "\r\n":
             return -1
-        elif "f" in prefix and c == "{":
-            if text.startswith("{{", at):
+        elif formatted and c in "{}":
+            if text.startswith(c * 2, at):
                 at += 2
                 continue
-            at = _py_field(text, at + 1, quote)
+            if c == "}":
+                fields.append((at, -1))
+                at += 1
+                continue
+            check(at)
+            at = part = _py_field(text, at + 1, quote, raw, fields)
             if at < 0:
                 return -1
         else:
@@ -116,45 +160,100 @@ def _py_string(text: str, start: int, opened: str) -> int:
     return -1
 
 
-def _py_field(text: str, at: int, quote: str) -> int:
-    depth = 0
+def _py_field(text: str, at: int, quote: str, raw: bool, fields: list[tuple[int, int]]) -> int:
+    """Where the field whose expression begins at ``at`` ends; -1 if it doesn't."""
+    depth, begin = 0, at
+
+    def expression(end: int) -> None:
+        shown = re.search(r"(?<![=!<>:])=\s*$", text[begin:end])  # f"{x=}"
+        fields.append((begin, begin + shown.start() if shown else end))
+
     while at < len(text):
         c = text[at]
-        if c in "\"'":
-            if text.startswith(quote, at) and depth == 0 and len(quote) == 3:
-                return -1
-            m = re.compile(r"\"\"\"|'''|\"|'").match(text, at)
-            at = _py_string(text, at, m[0])
+        opened = _PY_STRING.match(text, at)
+        if opened:
+            at = _py_string(text, at, opened[0], [])
             if at < 0:
                 return -1
             continue
+        if c == "_" or c.isalnum():
+            at = _PY_WORD.match(text, at).end()
+            continue
+        if c == "#":
+            while at < len(text) and text[at] not in "\r\n":
+                at += 1
+            continue
         if c in "([{":
             depth += 1
         elif c in ")]}":
             if depth == 0:
+                if c == "}":
+                    expression(at)
                 return at + 1 if c == "}" else -1
             depth -= 1
-        elif c == ":" and depth == 0:  # a format, in which fields may nest
-            while at < len(text) and text[at] != "}":
-                if text[at] == "{":
-                    at = _py_field(text, at + 1, quote)
-                    if at < 0:
-                        return -1
-                elif text[at] in "\r\n" and len(quote) == 1 or text.startswith(quote, at):
-                    return -1
-                else:
-                    at += 1
-            return at + 1 if at < len(text) else -1
-        elif c in "\r\n" and len(quote) == 1 and False:
-            return -1
+        elif depth == 0 and c == "!" and not text.startswith("!=", at):
+            expression(at)
+            m = _PY_CONVERSION.match(text, at)
+            if not m:
+                return -1
+            at = m.end()
+            return at + 1 if text[at] == "}" else _py_format(text, at + 1, quote, raw, fields)
+        elif depth == 0 and c == ":":
+            expression(at)
+            return _py_format(text, at + 1, quote, raw, fields)
         at += 1
     return -1
 
 
+def _py_format(text: str, at: int, quote: str, raw: bool, fields: list[tuple[int, int]]) -> int:
+    """Where the field whose format, in which fields may nest, begins at ``at`` ends; -1 if it doesn't."""
+    part = at
+    while at < len(text) and text[at] != "}":
+        if text[at] == "\\" and not raw and text.startswith("N{", at + 1):
+            at = text.find("}", at) + 1 or at + 3
+        elif text[at] == "{":
+            if not raw and not _py_escapes(text[part:at], False):
+                fields.append((part, -1))
+            at = part = _py_field(text, at + 1, quote, raw, fields)
+            if at < 0:
+                return -1
+        elif text[at] in "\r\n" and len(quote) == 1 or text.startswith(quote, at):
+            return -1
+        else:
+            at += 1
+    if not raw and not _py_escapes(text[part:at], False):
+        fields.append((part, -1))
+    return at + 1 if at < len(text) else -1
+
+
 def python_frames(text: str) -> list[tuple[str, int]]:
-    tree, at, line, n = Tree(), 0, 1, len(text)
-    lines: list[tuple[int, int, list[tuple]]] = []  # (indentation, line, tokens)
-    indent, fresh, begin = 0, True, 1
+    tree, lines, inner = _py_tokens(text, 1)
+    out = tree.frames("py")
+    _py_blocks(lines, out)
+    return out + inner
+
+
+def _py_fields(text: str, start: int, line: int, fields: list[tuple[int, int]], out: list[tuple[str, int]]) -> None:
+    """Frames of the expressions in the fields of the string that begins at ``start``."""
+    for begin, end in fields:
+        at = line + text.count("\n", start, begin)
+        if end < 0:
+            out.append(("br:Ctx ?", at))
+            continue
+        tree, lines, inner = _py_tokens("(" + text[begin:end] + "\n)", at)
+        out += tree.frames("py") + inner
+        if len(lines) == 1 and len(lines[0][2]) == 1:
+            _py_emit(lines[0][2][0][1], "CtxField", at, out, False)
+        else:
+            out.append(("br:Ctx ?", at))
+
+
+def _py_tokens(text: str, line: int) -> tuple[Tree, list[tuple], list[tuple[str, int]]]:
+    """Brackets and loose ends, statement lines and the frames inside f-strings."""
+    tree, at, n = Tree(), 0, len(text)
+    lines: list[tuple[int, int, list[tuple], int]] = []  # (indentation, line, tokens, indentation with tabs as one column)
+    inner: list[tuple[str, int]] = []
+    indent, narrow, fresh, begin = 0, 0, True, line
     if text.startswith("﻿"):
         at = 1
     while at < n:
@@ -170,26 +269,31 @@ def python_frames(text: str) -> list[tuple[str, int]]:
         if kind == "line":
             if not tree.stack:
                 if tree.root:
-                    lines.append((indent, begin, tree.root))
+                    lines.append((indent, begin, tree.root, narrow))
                     tree.root = []
-                fresh, indent = True, 0
+                fresh, indent, narrow = True, 0, 0
             line += 1
         elif kind == "space":
             if fresh and not tree.root and "\\" not in piece:
-                indent = len(piece.rpartition("\f")[2].expandtabs(8))
+                piece = piece.rpartition("\f")[2]
+                indent, narrow = len(piece.expandtabs(8)), len(piece)
             line += piece.count("\n")
         elif kind != "comment":
             if not tree.root and not tree.stack:
                 begin = line
             fresh = False
             if kind == "string":
-                end = _py_string(text, m.start(), piece)
+                fields: list[tuple[int, int]] = []
+                end = _py_string(text, m.start(), piece, fields)
+                token = "y" if "b" in piece.lower() else "s"
                 if end < 0:
                     tree.broken.append(line)
                     tree.add("?", piece, line)
                     end = n if len(piece.rstrip("\"'")) + 3 == len(piece) else next((i for i in range(at, n) if text[i] in "\r\n"), n)
-                elif not (tree.now and tree.now[-1][0] == "s"):
-                    tree.add("s", "", line)
+                else:
+                    if not (tree.now and tree.now[-1][0] == token):
+                        tree.add(token, "", line)
+                    _py_fields(text, m.start(), line, fields, inner)
                 line += text.count("\n", m.start(), end)
                 at = end
             elif kind == "number":
@@ -205,22 +309,20 @@ def python_frames(text: str) -> list[tuple[str, int]]:
                 tree.add(piece, piece, line)
     tree.end()
     if tree.root:
-        lines.append((indent, begin, tree.root))
-    out = tree.frames("py")
-    _py_blocks(lines, out)
-    return out
+        lines.append((indent, begin, tree.root, narrow))
+    return tree, lines, inner
 
 
 _HEADS = frozenset("if elif else for while try except finally with def class".split())
 _FOLLOW = ("elif", "else", "except", "finally", "case")
 
 
-def _py_blocks(lines: list[tuple[int, int, list[tuple]]], out: list[tuple[str, int]]) -> None:
-    stack: list[tuple[int, list[tuple[str, int]], str]] = [(0, [], "Block")]
+def _py_blocks(lines: list[tuple[int, int, list[tuple], int]], out: list[tuple[str, int]]) -> None:
+    stack: list[tuple[int, list[tuple[str, int]], str, int]] = [(0, [], "Block", 0)]
     waits = ""  # the kind of the line before, if a block must follow
 
-    def close(block: tuple[int, list[tuple[str, int]], str]) -> None:
-        _, entries, rule = block
+    def close(block: tuple[int, list[tuple[str, int]], str, int]) -> None:
+        _, entries, rule, _ = block
         if rule == "Cases":
             out.append((f"py:CtxCases {' '.join(dict.fromkeys(e for e, _ in entries))}", entries[0][1]))
             return
@@ -234,22 +336,26 @@ def _py_blocks(lines: list[tuple[int, int, list[tuple]]], out: list[tuple[str, i
         if group:
             out.append(("py:CtxBlock " + " ".join(x for x, _ in group), group[0][1]))
 
-    for k, (indent, ln, tokens) in enumerate(lines):
+    for k, (indent, ln, tokens, narrow) in enumerate(lines):
         words = [t[0] for t in tokens]
         if indent > stack[-1][0]:
+            if narrow <= stack[-1][3]:
+                out.append(("br:Ctx ?", ln))  # deeper or not by the width of a tab
             entries = stack[-1][1]
             if waits:
                 entries[-1] = (waits + "{}", entries[-1][1])
-                stack.append((indent, [], "Cases" if waits == "match" else "Block"))
+                stack.append((indent, [], "Cases" if waits == "match" else "Block", narrow))
             else:
                 out.append(("br:Ctx ?", ln))
-                stack.append((indent, [], "Block"))
+                stack.append((indent, [], "Block", narrow))
         else:
             while indent < stack[-1][0]:
                 close(stack.pop())
+            if indent == stack[-1][0] and narrow != stack[-1][3]:
+                out.append(("br:Ctx ?", ln))
             if indent != stack[-1][0]:
                 out.append(("br:Ctx ?", ln))
-                stack.append((indent, [], "Block"))
+                stack.append((indent, [], "Block", narrow))
         head = next((w for w in words if w != "async"), "")
         deeper = k + 1 < len(lines) and lines[k + 1][0] > indent
         waits = ""
@@ -283,7 +389,53 @@ def _py_blocks(lines: list[tuple[int, int, list[tuple]]], out: list[tuple[str, i
             close(block)
 
 
-_OPERANDS = frozenset("N P Q B s n True False None ...".split())
+_OPERANDS = frozenset("N P Q B s y n True False None ...".split())
+
+
+_AUGMENTED = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
+# contexts of brackets that are assigned to, deleted, or the one target of an annotation or augmented assignment
+_TARGETS = {"assign": {"P": "CtxTuple", "Q": "CtxTargets"}, "del": {"P": "CtxDel", "Q": "CtxDel"}, "single": {"P": "CtxSingle", "Q": "CtxList"}}
+
+
+def _py_targets(words: list[str], rule: str) -> list[str]:
+    """For each token of a frame the kind of target (a key of ``_TARGETS``) it belongs to, or nothing."""
+    inside = {"CtxTuple": "assign", "CtxTargets": "assign", "CtxDel": "del", "CtxSingle": "single"}.get(rule)
+    if inside:
+        return [inside] * len(words)
+    out, n = [""] * len(words), len(words)
+    if rule == "CtxLine":
+        start = 0
+        header = words[0] in _HEADS or words[0] == "async" or words[0] in ("MATCH", "CASE", "@", "TYPE")
+        if header:  # statements after the colon
+            lambdas = 0
+            for start, w in enumerate(words):
+                lambdas += w == "lambda"
+                if w == ":":
+                    lambdas -= 1
+                    if lambdas < 0:
+                        break
+            start += 1
+        while start < n:
+            end = next((i for i in range(start, n) if words[i] == ";"), n)
+            part = words[start:end]
+            until = part.index("lambda") if "lambda" in part else len(part)
+            ops = [i for i in range(until) if part[i] in ("=", ":") or part[i] in _AUGMENTED]
+            if part[:1] == ["del"]:
+                out[start + 1 : end] = ["del"] * max(end - start - 1, 0)
+            elif ops and part[ops[0]] != "=":
+                out[start : start + ops[0]] = ["single"] * ops[0]
+            elif ops:
+                out[start : start + ops[-1]] = ["assign"] * ops[-1]
+            start = end + 1
+    kind = ""
+    for i, w in enumerate(words):
+        if w == "for" or w == "as" and (rule == "CtxWith" or "with" in words[:2]):
+            kind = w
+        elif kind == "for" and w == "in" or kind == "as" and w in (",", ":"):
+            kind = ""
+        elif kind:
+            out[i] = "assign"
+    return out
 
 
 def _py_emit(tokens: list[tuple], rule: str, line: int, out: list[tuple[str, int]], pattern: bool) -> None:
@@ -291,6 +443,8 @@ def _py_emit(tokens: list[tuple], rule: str, line: int, out: list[tuple[str, int
     start = tokens[0][0] if tokens else ""
     start = tokens[1][0] if start == "async" and len(tokens) > 1 else start
     in_case = start == "CASE"
+    all_words = [t[0] for t in tokens]
+    targets = _py_targets(all_words, rule) if not pattern else []
     for i, (word, inner, ln) in enumerate(tokens):
         before = words[-1] if words else ""
         if in_case and word in ("if", ":"):
@@ -298,12 +452,18 @@ def _py_emit(tokens: list[tuple], rule: str, line: int, out: list[tuple[str, int
         if word in ("P", "Q", "B"):
             pat = pattern or in_case
             if pat:
-                ctx = {"P": "CtxPatArgs" if before == "N" else "CtxPatSeq", "Q": "CtxPatSeq", "B": "CtxPatMap"}[word]
+                ctx = {"P": "CtxPatArgs" if before == "N" else "CtxPatSeq", "Q": "CtxPatList", "B": "CtxPatMap"}[word]
+            elif word != "B" and targets[i] and before not in _OPERANDS and all_words[i + 1 : i + 2] not in (["."], ["P"], ["Q"]):
+                ctx = _TARGETS[targets[i]][word]
             elif word == "P":
                 if rule == "CtxLine" and start == "def" and "P" not in words:
                     ctx = "CtxParams"
                 elif before == "import":
                     ctx = "CtxImports"
+                elif rule == "CtxLine" and before == "with" and all_words[i + 1 : i + 2] == [":"]:
+                    ctx = "CtxWith"
+                elif rule == "CtxLine" and start == "class" and "P" not in words and ":" not in words:
+                    ctx = "CtxBases"
                 else:
                     ctx = "CtxArgs" if before in _OPERANDS else "CtxParen"
             elif word == "Q":
@@ -313,7 +473,7 @@ def _py_emit(tokens: list[tuple], rule: str, line: int, out: list[tuple[str, int
                 ctx = "CtxBrace"
             _py_emit(inner, ctx, ln, out, pat)
         words.append(word)
-    if words or rule not in ("CtxArgs", "CtxParen", "CtxList", "CtxBrace", "CtxParams", "CtxPatSeq", "CtxPatArgs", "CtxPatMap"):
+    if words or rule not in ("CtxArgs", "CtxParen", "CtxList", "CtxBrace", "CtxParams", "CtxBases", "CtxTuple", "CtxTargets", "CtxDel", "CtxPatSeq", "CtxPatList", "CtxPatArgs", "CtxPatMap"):
         out.append((f"py:{rule} {' '.join(_shorten(words))}", line))
 
 

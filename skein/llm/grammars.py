@@ -1,6 +1,6 @@
 """Rules of Python 3.13 statements and Rust 2021 items over token classes.
 
-Token classes: N name, n number, s string, P Q B groups in round, square and
+Token classes: N name, n number, s string, y bytes, P Q B groups in round, square and
 curly brackets (their contents are token strings of their own, parsed by the
 rule of their context), t lifetime, c character; keywords and operators stand
 for themselves. Rules whose names begin with Ctx are the contexts.
@@ -12,10 +12,10 @@ from skein.llm.chart import compile_rules
 
 PYTHON = """
 CtxLine : Simple ( ; Simple ) * ; ? | Header
-Header : if Named Body | elif Named Body | else Body | while Named Body | for Targets in Stars Body | async for Targets in Stars Body | try Body | finally Body | except Body | except Test ( as N ) ? Body | except '*' Test ( as N ) ? Body | with Item ( , Item ) * Body | async with Item ( , Item ) * Body | async ? def N Q ? P ( -> Test ) ? Body | class N Q ? P ? Body | @ Named | MATCH Stars : | CASE Pats ( if Named ) ? :
+Header : if Named Body | elif Named Body | else Body | while Named Body | for Targets in Stars Body | async for Targets in Stars Body | try Body | finally Body | except Body | except Test ( as N ) ? Body | except '*' Test ( as N ) ? Body | with Item ( , Item ) * Body | async with Item ( , Item ) * Body | async ? def N Q ? P ( -> Test ) ? Body | class N Q ? P ? Body | @ Named | MATCH ( Named | NStar , NStars ? ) : | CASE Pats ( if Named ) ? Body
 Body : : ( Simple ( ; Simple ) * ; ? ) ?
-Item : Test ( as Target ) ?
-Simple : Stars | Targets1 = Value | Single Aug ( Yield | Stars ) | Single : Test ( = ( Yield | Stars ) ) ? | Yield | return Stars ? | del Targets | pass | break | continue | global N ( , N ) * | nonlocal N ( , N ) * | import Dotted As ? ( , Dotted As ? ) * | from Dots import ( '*' | P | N As ? ( , N As ? ) * ) | raise ( Test ( from Test ) ? ) ? | assert Test ( , Test ) ? | TYPE N Q ? = Test
+Item : Test ( as Target1 ) ?
+Simple : Stars | Targets1 = Value | Single Aug ( Yield | Stars ) | Single : Test ( = ( Yield | Stars ) ) ? | Yield | return Stars ? | del Target ( , Target ) * , ? | pass | break | continue | global N ( , N ) * | nonlocal N ( , N ) * | import Dotted As ? ( , Dotted As ? ) * | from Dots import ( '*' | P | N As ? ( , N As ? ) * ) | raise ( Test ( from Test ) ? ) ? | assert Test ( , Test ) ? | TYPE N Q ? = Test
 As : as N
 Dotted : N ( . N ) *
 Dots : ( . | ... ) + Dotted ? | Dotted
@@ -28,9 +28,11 @@ Target1 : '*' ? Target
 Target : N | Primary . N | Primary Q | P | Q
 Single : N | Primary . N | Primary Q | P
 Stars : Star ( , Star ) * , ?
-Star : '*' Arith | Named
+Star : '*' Arith | Test
+NStars : NStar ( , NStar ) * , ?
+NStar : '*' Arith | Named
 Named : N := Test | Test
-Test : Disj | Disj if Disj else Test | lambda Params ? : Test
+Test : Disj | Disj if Disj else Test | lambda Params : Test
 Disj : Conj ( or Conj ) *
 Conj : Inv ( and Inv ) *
 Inv : not Inv | Cmp
@@ -41,33 +43,52 @@ Bop : '+' | - | '*' | / | // | % | @ | << | >> | & | '|' | ^
 Unary : '+' Unary | - Unary | ~ Unary | Await ( ** Unary ) ?
 Await : await ? Primary
 Primary : Atom | Primary . N | Primary P | Primary Q
-Atom : N | n | s | P | Q | B | True | False | None | ...
-Params : Param ( , Param ) * , ?
-Param : N ( = Test ) ? | '*' N ? | ** N | /
-CtxArgs : ( Arg ( , Arg ) * , ? ) ?
-Arg : Named Comp ? | N = Test | '*' Test | ** Test
-Comp : ( async ? for Targets in Disj ( if ( Disj | lambda Params ? : Test ) ) * ) +
-CtxParen : Stars ? | Yield | Named Comp | Item ( , Item ) * , ?
-CtxList : Stars ? | Named Comp
+Atom : N | n | s | y | P | Q | B | True | False | None | ...
+Params : ( Front ( , Rest ) ? , ? | Rest , ? ) ?
+Front : N ( , N ) * ( , / ( , N ) * ) ? ( , Dflt ) * | N ( , N ) * ( , Dflt ) + , / ( , Dflt ) * | Dflt ( , Dflt ) * ( , / ( , Dflt ) * ) ?
+Dflt : N = Test
+Rest : '*' N ( , ( N | Dflt ) ) * ( , ** N ) ? | '*' ( , ( N | Dflt ) ) + ( , ** N ) ? | ** N
+CtxArgs : ( Args , ? | Named Comp ) ?
+CtxBases : ( Args , ? ) ?
+Args : Pos ( , Pos ) * ( , Kws ) ? | Kws
+Pos : Named | '*' Test
+Kws : Kw ( , Kw ) * ( , Kw2 ( , Kw2 ) * ) ? | Kw2 ( , Kw2 ) *
+Kw : N = Test | '*' Test
+Kw2 : N = Test | ** Test
+Comp : ( async ? for Targets in Disj ( if Disj ) * ) +
+CtxParen : Paren
+Paren : ( Named | NStar , NStars ? | Yield | Named Comp ) ?
+CtxWith : Paren | Item ( , Item ) * , ?
+CtxTuple : ( Target | Target1 , | Target1 ( , Target1 ) + , ? ) ?
+CtxTargets : Targets ?
+CtxDel : ( Target ( , Target ) * , ? ) ?
+CtxSingle : Single
+CtxField : Yield | Stars
+CtxList : NStars ? | Named Comp
 CtxSub : Slice ( , Slice ) * , ?
-Slice : Named | '*' Arith | Test ? : Test ? ( : Test ? ) ?
-CtxBrace : ( Pair ( , Pair ) * , ? ) ? | Test : Test Comp | Stars | Named Comp
+Slice : Named | '*' Test | Test ? : Test ? ( : Test ? ) ?
+CtxBrace : ( Pair ( , Pair ) * , ? ) ? | Test : Test Comp | NStars | Named Comp
 Pair : Test : Test | ** Arith
-CtxParams : ( Def ( , Def ) * , ? ) ?
-Def : N ( : Test ) ? ( = Test ) ? | '*' ( N ( : ( Test | '*' Arith ) ) ? ) ? | ** N ( : Test ) ? | /
+CtxParams : ( DefFront ( , DefRest ) ? , ? | DefRest , ? ) ?
+DefFront : Def ( , Def ) * ( , / ( , Def ) * ) ? ( , DefDflt ) * | Def ( , Def ) * ( , DefDflt ) + , / ( , DefDflt ) * | DefDflt ( , DefDflt ) * ( , / ( , DefDflt ) * ) ?
+Def : N ( : Test ) ?
+DefDflt : Def = Test
+DefRest : '*' N ( : Star ) ? ( , ( Def | DefDflt ) ) * ( , ** Def ) ? | '*' ( , ( Def | DefDflt ) ) + ( , ** Def ) ? | ** Def
 CtxImports : N As ? ( , N As ? ) * , ?
 CtxTypes : Var ( , Var ) * , ?
 Var : N ( : Test ) ? ( = Test ) ? | '*' N ( = Star ) ? | ** N ( = Test ) ?
-Pats : Pat ( , Pat ) * , ?
-Pat : '*' N | Alt ( as N ) ?
+Pats : One | Pat , ( Pat ( , Pat ) * , ? ) ?
+Pat : '*' N | One
+One : Alt ( as N ) ?
 Alt : Closed ( '|' Closed ) *
-Closed : - ? n ( ( '+' | - ) n ) ? | s | None | True | False | Name P ? | P | Q | B
+Closed : - ? n ( ( '+' | - ) n ) ? | s | y | None | True | False | Name P ? | P | Q | B
 Name : N ( . N ) *
 CtxPatSeq : Pats ?
-CtxPatArgs : ( PatArg ( , PatArg ) * , ? ) ?
-PatArg : Pat | N = Pat
-CtxPatMap : ( PatPair ( , PatPair ) * , ? ) ?
-PatPair : ( - ? n ( ( '+' | - ) n ) ? | s | None | True | False | Name ) : Pat | ** N
+CtxPatList : ( Pat ( , Pat ) * , ? ) ?
+CtxPatArgs : ( One ( , One ) * ( , PatKw ) * , ? | PatKw ( , PatKw ) * , ? ) ?
+PatKw : N = One
+CtxPatMap : ( PatPair ( , PatPair ) * ( , ** N ) ? , ? | ** N , ? ) ?
+PatPair : ( - ? n ( ( '+' | - ) n ) ? | s | y | None | True | False | Name . N ) : One
 CtxBlock : Stmt +
 Stmt : one | decorator + ( def{} | class{} | def1 | class1 ) | def{} | class{} | def1 | class1 | For Else ? | With | If Elif * Else ? | Try ( Except + Else ? Finally ? | Finally ) | match{}
 For : for{} | for1 | while{} | while1
