@@ -55,6 +55,129 @@ class Found:
         return out
 
 
+_UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+_MARK = re.compile(r"(?:<{7}|>{7}|\|{7}|={7})(?:\s|$)")
+_GOES_ON = re.compile(r"[)\]}#]|(?:elif|else|except|finally)\b")
+_INCOMPLETE = 0x4000  # flag of compile(): input that ends too early is an error of its own, as codeop uses it
+
+
+def _indent(line: str) -> str:
+    return re.match(r"(?:[ \t]*\f)*([ \t]*)", line)[1]
+
+
+def _verdict(text: str) -> str:
+    """good, bad, or for text that ends too early: the quotes that are open, or more."""
+    head = "if 1:\n" if _indent(text) else ""
+    try:
+        ast.parse(head + text)
+        return "good"
+    except _UNPARSABLE as e:
+        message = str(e)
+    try:
+        compile(head + text, "", "exec", ast.PyCF_ONLY_AST | _INCOMPLETE)
+    except _UNPARSABLE as e:
+        if type(e).__name__ != "_IncompleteInputError":
+            return "bad"
+    return "quotes" if "triple-quoted" in message else "more"
+
+
+def _body(lines: list[str]) -> str:
+    """Text from the first line with code on."""
+    at = next((i for i, x in enumerate(lines) if x.strip() and not x.lstrip().startswith("#")), len(lines))
+    return "".join(lines[at:])
+
+
+def _blank_lines(lines: list[str]) -> list[str]:
+    return [x[len(x.rstrip("\r\n")) :] for x in lines]
+
+
+def _inside(lines: list[str]) -> list[str] | None:
+    """A compound statement with what doesn't parse in its bodies left out; none if it doesn't parse even so."""
+    first = next((x for x in lines if x.strip()), "")
+    outer, out, at, changed = _indent(first), [], 0, False
+    while at < len(lines):
+        head = lines[at]
+        out.append(head)
+        at += 1
+        if not head.strip() or not re.search(r":\s*(?:#.*)?$", head):
+            continue
+        end = at
+        while end < len(lines) and (not lines[end].strip() or len(_indent(lines[end])) > len(outer)):
+            end += 1
+        inner = lines[at:end]
+        if any(x.strip() for x in inner):
+            kept = [x for _, part in _kept(inner) for x in part]
+            if not _body(kept):
+                at_code = next(i for i, x in enumerate(inner) if x.strip())
+                kept[at_code] = _indent(inner[at_code]) + "pass" + kept[at_code]
+            changed |= kept != inner
+            out += kept
+            at = end
+    return out if changed and _verdict(_body(out)) == "good" else None
+
+
+def _kept(lines: list[str], top: bool = False) -> list[tuple[int, list[str]]]:
+    """Parts (first line, lines) that cover the lines in order; what doesn't parse is blank, so that all places stay."""
+    indent = "" if top else _indent(_body(lines))
+    starts = [i for i, x in enumerate(lines) if x.strip() and _indent(x) == indent and not _GOES_ON.match(x.lstrip())]
+    starts = ([] if starts[:1] == [0] else [0]) + starts
+    bounds = [*starts, len(lines)]
+    out: list[tuple[int, list[str]]] = []
+    i = 0
+    while i < len(starts):
+        # join chunks only while the text ends too early
+        j = i + 1
+        verdict = _verdict(_body(lines[starts[i] : bounds[j]]))
+        while verdict in ("more", "quotes") and j < len(starts):
+            j += 1
+            while verdict == "quotes" and j < len(starts) and not any(q in x for x in lines[bounds[j - 1] : bounds[j]] for q in ('"""', "'''")):
+                j += 1
+            verdict = _verdict(_body(lines[starts[i] : bounds[j]]))
+        part = lines[starts[i] : bounds[j]]
+        if verdict != "good":
+            part = _inside(part)
+        if part is None and j > i + 1:
+            j = i + 1
+            part = _inside(lines[starts[i] : bounds[j]])
+        if part is None:
+            # without its first line it may go on with the part before
+            j = i + 1
+            chunk = lines[starts[i] : bounds[j]]
+            part = _blank_lines(chunk)
+            rest = part[:1] + chunk[1:]
+            if out and _body(out[-1][1]) and _body(rest):
+                both = out[-1][1] + rest
+                joined = both if _verdict(_body(both)) == "good" else _inside(both)
+                if joined is not None:
+                    out[-1] = (out[-1][0], joined)
+                    i = j
+                    continue
+        out.append((starts[i], part))
+        i = j
+    return out
+
+
+def mended(text: str) -> list[ast.stmt]:
+    """The statements that parse of a Python text that doesn't, with their places in it.
+
+    The text is cut at its top-level statements; chunks that only parse
+    together are joined, and a compound statement with errors in its bodies
+    keeps the statements there that parse. Merge marks are left out, so both
+    sides stay.
+    """
+    lines = _LINE.findall(text)
+    if any(x.startswith("<" * 7) for x in lines):
+        lines = [_blank_lines([x])[0] if _MARK.match(x) else x for x in lines]
+    out: list[ast.stmt] = []
+    for begin, part in _kept(lines, top=True):
+        if _body(part):
+            deeper = bool(_indent(_body(part)))  # an indented block without a head
+            tree = ast.increment_lineno(ast.parse("if 1:\n" * deeper + "".join(part)), begin - deeper)
+            out += [*tree.body[0].body, *tree.body[1:]] if deeper else tree.body
+    return out
+
+
 class Python:
     """The walk over one Python file."""
 
@@ -70,21 +193,14 @@ class Python:
         return self.found
 
     def parse(self) -> list[ast.stmt]:
-        """The statements; of a file that doesn't parse, those of the longest leading part that does."""
+        """The statements; of a file that doesn't parse, all that parse by themselves (see ``mended``)."""
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
                 return ast.parse(self.text).body
-            except (SyntaxError, ValueError, RecursionError) as e:
+            except _UNPARSABLE as e:
                 self.found.rows.append({"what": "diagnostic", "message": f"{type(e).__name__}: {e}"})
-                line = getattr(e, "lineno", None) or 1
-                starts = [i for i, x in enumerate(self.text.splitlines()[:line]) if re.match(r"(?:def|class|async|@|import|from|[^\W\d]\w*\s*[:=])", x)]
-                for at in reversed(starts[-20:]):
-                    try:
-                        return ast.parse("".join(self.text.splitlines(keepends=True)[:at])).body
-                    except (SyntaxError, ValueError, RecursionError):
-                        continue
-                return []
+                return mended(self.text)
 
     def source(self, node: ast.AST) -> str:
         first, last = node.lineno - 1, node.end_lineno - 1
@@ -264,7 +380,7 @@ def extract(files: DataFrame, all_names: bool = False) -> DataFrame:
 
     ``files`` has rel_path, language (python or rust; others are skipped) and
     content. Null content gives a diagnostic; a file that doesn't parse gives
-    its file node, the nodes of its leading statements and a diagnostic, and
+    its file node, the nodes of all statements that parse and a diagnostic, and
     never ends the job. Empty content gives the file node.
     """
 

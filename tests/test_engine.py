@@ -211,3 +211,19 @@ def test_empty_tables(spark):
     nodes = X.nodes(rows)
     assert G.callers(nodes, X.edges(rows), "x", 2).count() == 0 and S.search(nodes, ["x"]).count() == 0
     assert G.totals(nodes, X.edges(rows)).first()["total_nodes"] == 0
+
+
+def test_statements_around_errors_are_kept():
+    def names(text):
+        return [(r["name"], r["place"][0]) for r in X.Python("a.py", text, False).run().rows if r["what"] == "node"][1:]
+
+    rest = "".join(f"def f{i}():\n    return g()\n" for i in range(60))
+    got = names("import a\n<<<<<<< HEAD\nX = 1\n=======\nX = 2\n>>>>>>> b\n" + rest)
+    assert got == [("X", 3), ("X", 5)] + [(f"f{i}", 7 + 2 * i) for i in range(60)]
+    assert names("a b\n" + rest)[-1] == ("f59", 120)
+    assert names("class K:\n    def m(self):\n        x = = 1\n    def n(self:\n        pass\n    def o(self): pass\ny = 1\n") == [("K", 1), ("m", 2), ("o", 6), ("y", 7)]
+    assert names("a b\ns = '''\ndef no(): pass\n'''\n@d\ndef yes(): pass\n") == [("s", 2), ("yes", 6)]
+    assert names("def a(): pass\nx = [1, 2\ndef b(): pass\n") == [("a", 1), ("b", 3)]
+    assert names("x = '\0'\ndef f(): pass\n") == [("f", 2)]
+    assert names("x = " + "(" * 300 + ")" * 300 + "\ny = 1\n") == [("y", 2)]
+    assert names("<p>\n") == names("? ?") == []
