@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import documented, encode, handwritten, leaks, quality, syntax
+from skein.scratch import Scratch
 from skein.sources.tables import table
 
 
@@ -37,17 +38,17 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _documented(spark, d).filter("code IS NOT NULL AND trim(code) <> ''")
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.judged(table(spark, d, "files", "rel_path", "content"), table(spark, d, "package_files", "content"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Files that nobody wrote by hand, without those that don't parse."""
-    return _judged(spark, d).filter("found").select("rel_path").distinct().join(p2_found(spark, d), "rel_path", "left_anti")
+    """Files that nobody wrote by hand, without those that don't parse (only the files found are parsed)."""
+    files = table(spark, d, "files", "rel_path", "content")
+    judged = handwritten.judged(files, table(spark, d, "package_files", "content"))
+    found = Scratch(spark, "found").save(judged.filter("found").select("rel_path").distinct())
+    broken = syntax.repaired(files.join(found, "rel_path", "left_semi")).select("rel_path")
+    return found.join(broken, "rel_path", "left_anti")
 
 
 def p6_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Files found with and without named evidence, in the repositories used for fitting and in those held out."""
+    """What the classifier finds and the rules label, in the repositories used for fitting and in those held out, with each group of features left out in turn."""
     return handwritten.validation(table(spark, d, "files", "rel_path", "content"), table(spark, d, "package_files", "content"))
 
 
