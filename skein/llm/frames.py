@@ -3,8 +3,12 @@
 Every bracket group, statement line (Python) or statement, item and arm (Rust)
 becomes a string of its own, in which inner groups are single tokens, so that
 strings are short and the same ones recur over and over in a corpus. A frame is
-``language:rule tokens``; brackets that don't match give a frame of brackets,
-and text that no token fits gives the token ``?``.
+``language:rule tokens``; brackets that don't match give a frame of brackets
+(a text or comment left open counts as one), text that no token fits gives the
+token ``?`` and the mark of a merge conflict the token ``mark``.
+
+``frames`` merges equal clauses of long lists, so that few distinct strings
+come out; ``whole_frames`` keeps every token with its line.
 """
 
 from __future__ import annotations
@@ -17,23 +21,40 @@ RS_WORDS = frozenset("as async await box break const continue crate default dyn
 RS_SOFT = frozenset("box default raw union".split())  # words only in some places
 CLOSERS = {")": "(", "]": "[", "}": "{"}
 CLASSES = {"(": "P", "[": "Q", "{": "B"}
-BRACKETS = {"(": "o1", ")": "c1", "[": "o2", "]": "c2", "{": "o3", "}": "c3"}
+BRACKETS = {"(": "o1", ")": "c1", "[": "o2", "]": "c2", "{": "o3", "}": "c3", "open": "o4"}
 
+_MARK = r"(?m:^)(?:<{7}|>{7}|\|{7}|={7})(?![^ \t\r\n])[^\r\n]*"  # fixed value: lines by which version control marks conflicts
 _PY = re.compile(
     r"""(?P<space>[ \t\f]+|\\\r?\n)|(?P<comment>\#[^\r\n]*)|(?P<line>\r\n|\n|\r)
     |(?P<string>(?i:[bru]|br|rb|f|fr|rf)?(?:\"\"\"|'''|"|'))|(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))
-    |(?P<name>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|>>|<<|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])""",
+    |(?P<name>[^\W\d]\w*)|""" rf"(?P<mark>{_MARK})" r"""|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|>>|<<|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])""",
     re.X,
 )
 _RS = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*)|(?P<block>/\*)|(?P<raw>(?:b|c)?r(?P<hash>\#*)")|(?P<string>(?:b|c)?"(?:[^"\\]|\\.)*")
     |(?P<char>b?'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))')|(?P<life>'[^\W\d]\w*)
     |(?P<number>0[xX][0-9a-fA-F_]+\w*|0[bo][0-7_]+\w*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?(?:[iuf]\w*)?|\d[\d_]*\.(?![.\w]))
-    |(?P<name>(?:r\#)?[^\W\d]\w*)|(?P<op>\.\.=|\.\.\.|::|->|=>|\.\.|==|!=|<=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|[-+*/%^&|!~<>()\[\]{},:.;=@?\#$])""",
+    |(?P<name>(?:r\#)?[^\W\d]\w*)|""" rf"(?P<mark>{_MARK})" r"""|(?P<op>\.\.=|\.\.\.|::|->|=>|\.\.|==|!=|<=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|[-+*/%^&|!~<>()\[\]{},:.;=@?\#$])""",
     re.X | re.S,
 )
 
 
+class Out(list):
+    """(frame, first line, lines of its tokens): without ``whole`` shortened, and without the lines of tokens."""
+
+    def __init__(self, whole: bool = False):
+        self.whole = whole
+
+    def put(self, rule: str, words: list[str], lines: list[int], line: int) -> None:
+        if self.whole:
+            self.append((f"{rule} {' '.join(words)}", line, lines or [line]))
+        else:
+            self.append((f"{rule} {' '.join(_shorten(words))}", line, None))
+
+    def wrong(self, line: int) -> None:
+        self.append(("br:Ctx ?", line, [line]))
+
+
 class Tree:
     """Tokens of a text with their lines; a group is (opening bracket, line, its tokens)."""
 
@@ -64,11 +85,11 @@ class Tree:
         self.loose = sorted([*self.loose, *unclosed], key=lambda x: x[1])
         self.stack = self.stack[:0]
 
-    def frames(self, language: str) -> list[tuple[str, int]]:
-        out = [(f"br:Ctx ?", line) for line in self.broken]
+    def frames(self, out: Out) -> None:
+        for line in self.broken:
+            out.wrong(line)
         if self.loose:
-            out.append(("br:Ctx " + " ".join(BRACKETS[b] for b, _ in self.loose), self.loose[0][1]))
-        return out
+            out.put("br:Ctx", [BRACKETS[b] for b, _ in self.loose], [line for _, line in self.loose], self.loose[0][1])
 
 
 def _shorten(tokens: list[str]) -> list[str]:
@@ -226,33 +247,35 @@ def _py_format(text: str, at: int, quote: str, raw: bool, fields: list[tuple[int
     return at + 1 if at < len(text) else -1
 
 
-def python_frames(text: str) -> list[tuple[str, int]]:
-    tree, lines, inner = _py_tokens(text, 1)
-    out = tree.frames("py")
+def python_frames(text: str, whole: bool = False) -> Out:
+    inner = Out(whole)
+    tree, lines = _py_tokens(text, 1, inner)
+    out = Out(whole)
+    tree.frames(out)
     _py_blocks(lines, out)
-    return out + inner
+    out += inner
+    return out
 
 
-def _py_fields(text: str, start: int, line: int, fields: list[tuple[int, int]], out: list[tuple[str, int]]) -> None:
+def _py_fields(text: str, start: int, line: int, fields: list[tuple[int, int]], out: Out) -> None:
     """Frames of the expressions in the fields of the string that begins at ``start``."""
     for begin, end in fields:
         at = line + text.count("\n", start, begin)
         if end < 0:
-            out.append(("br:Ctx ?", at))
+            out.wrong(at)
             continue
-        tree, lines, inner = _py_tokens("(" + text[begin:end] + "\n)", at)
-        out += tree.frames("py") + inner
+        tree, lines = _py_tokens("(" + text[begin:end] + "\n)", at, out)
+        tree.frames(out)
         if len(lines) == 1 and len(lines[0][2]) == 1:
             _py_emit(lines[0][2][0][1], "CtxField", at, out, False)
         else:
-            out.append(("br:Ctx ?", at))
+            out.wrong(at)
 
 
-def _py_tokens(text: str, line: int) -> tuple[Tree, list[tuple], list[tuple[str, int]]]:
-    """Brackets and loose ends, statement lines and the frames inside f-strings."""
+def _py_tokens(text: str, line: int, inner: Out) -> tuple[Tree, list[tuple]]:
+    """Brackets and loose ends, and statement lines; the frames inside f-strings go to ``inner``."""
     tree, at, n = Tree(), 0, len(text)
     lines: list[tuple[int, int, list[tuple], int]] = []  # (indentation, line, tokens, indentation with tabs as one column)
-    inner: list[tuple[str, int]] = []
     indent, narrow, fresh, begin = 0, 0, True, line
     if text.startswith("﻿"):
         at = 1
@@ -266,6 +289,8 @@ def _py_tokens(text: str, line: int) -> tuple[Tree, list[tuple], list[tuple[str,
             continue
         kind, piece = m.lastgroup, m[0]
         at = m.end()
+        if text[at : at + 1] == " " and kind != "line" and (kind != "space" or not fresh):
+            at += 1  # most tokens are followed by one blank
         if kind == "line":
             if not tree.stack:
                 if tree.root:
@@ -282,12 +307,18 @@ def _py_tokens(text: str, line: int) -> tuple[Tree, list[tuple], list[tuple[str,
             if not tree.root and not tree.stack:
                 begin = line
             fresh = False
-            if kind == "string":
+            if kind == "mark":
+                tree.add("mark", piece, line)
+            elif kind == "string":
                 fields: list[tuple[int, int]] = []
+                at = m.end()
                 end = _py_string(text, m.start(), piece, fields)
                 token = "y" if "b" in piece.lower() else "s"
                 if end < 0:
-                    tree.broken.append(line)
+                    if len(piece.rstrip("\"'")) + 3 == len(piece):
+                        tree.loose.append(("open", line))
+                    else:
+                        tree.broken.append(line)
                     tree.add("?", piece, line)
                     end = n if len(piece.rstrip("\"'")) + 3 == len(piece) else next((i for i in range(at, n) if text[i] in "\r\n"), n)
                 else:
@@ -297,7 +328,8 @@ def _py_tokens(text: str, line: int) -> tuple[Tree, list[tuple], list[tuple[str,
                 line += text.count("\n", m.start(), end)
                 at = end
             elif kind == "number":
-                bad = at < n and (text[at].isalnum() or text[at] == "_") or re.fullmatch(r"0[\d_]*[1-9][\d_]*", piece)
+                after = text[m.end() : m.end() + 1]
+                bad = after.isalnum() or after == "_" or re.fullmatch(r"0[\d_]*[1-9][\d_]*", piece)
                 if bad:
                     tree.broken.append(line)
                 tree.add("n", piece, line)
@@ -310,51 +342,56 @@ def _py_tokens(text: str, line: int) -> tuple[Tree, list[tuple], list[tuple[str,
     tree.end()
     if tree.root:
         lines.append((indent, begin, tree.root, narrow))
-    return tree, lines, inner
+    return tree, lines
 
 
 _HEADS = frozenset("if elif else for while try except finally with def class".split())
 _FOLLOW = ("elif", "else", "except", "finally", "case")
 
 
-def _py_blocks(lines: list[tuple[int, int, list[tuple], int]], out: list[tuple[str, int]]) -> None:
+def _py_blocks(lines: list[tuple[int, int, list[tuple], int]], out: Out) -> None:
     stack: list[tuple[int, list[tuple[str, int]], str, int]] = [(0, [], "Block", 0)]
     waits = ""  # the kind of the line before, if a block must follow
 
     def close(block: tuple[int, list[tuple[str, int]], str, int]) -> None:
         _, entries, rule, _ = block
         if rule == "Cases":
-            out.append((f"py:CtxCases {' '.join(dict.fromkeys(e for e, _ in entries))}", entries[0][1]))
+            words = [e for e, _ in entries]
+            out.put("py:CtxCases", words if out.whole else list(dict.fromkeys(words)), [ln for _, ln in entries], entries[0][1])
             return
         group: list[tuple[str, int]] = []
         for e, ln in entries:
             if group and not e.startswith(_FOLLOW) and not group[-1][0].startswith("decorator"):
-                out.append(("py:CtxBlock " + " ".join(x for x, _ in group), group[0][1]))
+                out.put("py:CtxBlock", [x for x, _ in group], [ln for _, ln in group], group[0][1])
                 group = []
-            if not (group and group[-1][0] == e and e.startswith(("elif", "except", "decorator"))):
+            if out.whole or not (group and group[-1][0] == e and e.startswith(("elif", "except", "decorator"))):
                 group.append((e, ln))
         if group:
-            out.append(("py:CtxBlock " + " ".join(x for x, _ in group), group[0][1]))
+            out.put("py:CtxBlock", [x for x, _ in group], [ln for _, ln in group], group[0][1])
 
+    marks = [x for x in lines if len(x[2]) == 1 and x[2][0][0] == "mark"]  # they belong to no block
+    for _, ln, tokens, _ in marks:
+        _py_emit(tokens, "CtxLine", ln, out, False)
+    lines = [x for x in lines if x not in marks] if marks else lines
     for k, (indent, ln, tokens, narrow) in enumerate(lines):
         words = [t[0] for t in tokens]
         if indent > stack[-1][0]:
             if narrow <= stack[-1][3]:
-                out.append(("br:Ctx ?", ln))  # deeper or not by the width of a tab
+                out.wrong(ln)  # deeper or not by the width of a tab
             entries = stack[-1][1]
             if waits:
                 entries[-1] = (waits + "{}", entries[-1][1])
                 stack.append((indent, [], "Cases" if waits == "match" else "Block", narrow))
             else:
-                out.append(("br:Ctx ?", ln))
+                out.wrong(ln)
                 stack.append((indent, [], "Block", narrow))
         else:
             while indent < stack[-1][0]:
                 close(stack.pop())
             if indent == stack[-1][0] and narrow != stack[-1][3]:
-                out.append(("br:Ctx ?", ln))
+                out.wrong(ln)
             if indent != stack[-1][0]:
-                out.append(("br:Ctx ?", ln))
+                out.wrong(ln)
                 stack.append((indent, [], "Block", narrow))
         head = next((w for w in words if w != "async"), "")
         deeper = k + 1 < len(lines) and lines[k + 1][0] > indent
@@ -438,7 +475,7 @@ def _py_targets(words: list[str], rule: str) -> list[str]:
     return out
 
 
-def _py_emit(tokens: list[tuple], rule: str, line: int, out: list[tuple[str, int]], pattern: bool) -> None:
+def _py_emit(tokens: list[tuple], rule: str, line: int, out: Out, pattern: bool) -> None:
     words: list[str] = []
     start = tokens[0][0] if tokens else ""
     start = tokens[1][0] if start == "async" and len(tokens) > 1 else start
@@ -474,13 +511,13 @@ def _py_emit(tokens: list[tuple], rule: str, line: int, out: list[tuple[str, int
             _py_emit(inner, ctx, ln, out, pat)
         words.append(word)
     if words or rule not in ("CtxArgs", "CtxParen", "CtxList", "CtxBrace", "CtxParams", "CtxBases", "CtxTuple", "CtxTargets", "CtxDel", "CtxPatSeq", "CtxPatList", "CtxPatArgs", "CtxPatMap"):
-        out.append((f"py:{rule} {' '.join(_shorten(words))}", line))
+        out.put(f"py:{rule}", words, [t[2] for t in tokens], line)
 
 
 # ---- Rust
 
 
-def rust_frames(text: str) -> list[tuple[str, int]]:
+def rust_frames(text: str, whole: bool = False) -> Out:
     tree, at, line, n = Tree(), 0, 1, len(text)
     if text.startswith("﻿"):
         at = 1
@@ -489,7 +526,10 @@ def rust_frames(text: str) -> list[tuple[str, int]]:
     while at < n:
         m = _RS.match(text, at)
         if not m:
-            tree.broken.append(line)
+            if text[at] == '"':
+                tree.loose.append(("open", line))
+            else:
+                tree.broken.append(line)
             tree.add("?", text[at], line)
             end = n if text[at] == '"' else at + 1
             line += text.count("\n", at, end)
@@ -508,19 +548,21 @@ def rust_frames(text: str) -> list[tuple[str, int]]:
                 depth += 1 if nxt[0] == "/*" else -1
                 end = nxt.end()
             if depth:
-                tree.broken.append(line)
+                tree.loose.append(("open", line))
                 end = n
         elif kind == "raw":
             close = '"' + m["hash"]
             end = text.find(close, m.end())
             if end < 0:
-                tree.broken.append(line)
+                tree.loose.append(("open", line))
                 end = n
             else:
                 end += len(close)
             tree.add("s", "", line)
         elif kind == "string":
             tree.add("s", "", line)
+        elif kind == "mark":
+            tree.add("mark", piece, line)
         elif kind == "char":
             tree.add("c", "", line)
         elif kind == "life":
@@ -541,7 +583,8 @@ def rust_frames(text: str) -> list[tuple[str, int]]:
         line += text.count("\n", at, end)
         at = end
     tree.end()
-    out = tree.frames("rs")
+    out = Out(whole)
+    tree.frames(out)
     _rs_items(tree.root, out)
     return out
 
@@ -595,13 +638,16 @@ def _head(words: list[str], texts: list) -> str:
     return ""
 
 
-def _rs_items(tokens: list[tuple], out: list[tuple[str, int]]) -> None:
+def _rs_items(tokens: list[tuple], out: Out) -> None:
     part: list[tuple] = []
     tokens = _plain(tokens)
     for i, t in enumerate(tokens):
         part.append(t)
         words = [x[0] for x in part]
-        if t[0] == ";" or t[0] == "B" and _head(words, [x[1] for x in part]) not in _ENDED:
+        if t[0] == "mark" or i + 1 < len(tokens) and tokens[i + 1][0] == "mark":
+            _rs_emit(part, "CtxMark" if t[0] == "mark" else "CtxItem", out)
+            part = []
+        elif t[0] == ";" or t[0] == "B" and _head(words, [x[1] for x in part]) not in _ENDED:
             if t[0] == "B" and i + 1 < len(tokens) and tokens[i + 1][0] == ";" and "!" in words[:4]:
                 continue
             _rs_emit(part, "CtxItem", out)
@@ -614,12 +660,15 @@ _GOES_ON = frozenset(("else", ".", "?", "=", "=>", ",", "as", "..", "in", "B", "
 _BLOCKY = frozenset("if match loop while for unsafe B t".split())
 
 
-def _rs_stmts(tokens: list[tuple], out: list[tuple[str, int]]) -> None:
+def _rs_stmts(tokens: list[tuple], out: Out) -> None:
     tokens, part = _plain(tokens), []
     for i, t in enumerate(tokens):
         part.append(t)
         words = [x[0] for x in part]
-        if t[0] == ";":
+        if t[0] == "mark" or i + 1 < len(tokens) and tokens[i + 1][0] == "mark":
+            _rs_emit(part, "CtxMark" if t[0] == "mark" else "CtxTail", out)
+            part = []
+        elif t[0] == ";":
             _rs_emit(part, "CtxStmt", out)
             part = []
         elif t[0] == "B":
@@ -639,7 +688,7 @@ def _rs_stmts(tokens: list[tuple], out: list[tuple[str, int]]) -> None:
         _rs_emit(part, "CtxTail", out)
 
 
-def _rs_arms(tokens: list[tuple], out: list[tuple[str, int]]) -> None:
+def _rs_arms(tokens: list[tuple], out: Out) -> None:
     tokens, part, body, bars, skip = _plain(tokens), [], False, False, 0
     for i, t in enumerate(tokens):
         w = t[0]
@@ -668,7 +717,7 @@ def _rs_arms(tokens: list[tuple], out: list[tuple[str, int]]) -> None:
 _PATH_END = frozenset(("N", "Self", ">"))
 
 
-def _rs_emit(tokens: list[tuple], rule: str, out: list[tuple[str, int]], ctx: str = "") -> None:
+def _rs_emit(tokens: list[tuple], rule: str, out: Out, ctx: str = "") -> None:
     tokens = _plain(tokens)
     words: list[str] = []
     head = _head([t[0] for t in tokens], [t[1] for t in tokens]) if rule in ("CtxItem", "CtxStmt", "CtxLoose", "CtxTail") else ""
@@ -717,15 +766,24 @@ def _rs_emit(tokens: list[tuple], rule: str, out: list[tuple[str, int]], ctx: st
                 _rs_stmts(inner, out)
                 pending = ""
         words.append(word)
-    out.append((f"rs:{rule} {' '.join(_shorten(words))}", line))
+    out.put(f"rs:{rule}", words, [t[2] for t in tokens], line)
 
 
-def _rs_list(tokens: list[tuple], rule: str, out: list[tuple[str, int]]) -> None:
+def _rs_list(tokens: list[tuple], rule: str, out: Out) -> None:
     if tokens:
         _rs_emit(tokens, rule, out)
 
 
+def _all(path: str, text: str, whole: bool) -> Out:
+    ext = path.rpartition(".")[2]
+    return python_frames(text, whole) if ext in ("py", "pyi", "pyx") else rust_frames(text, whole) if ext == "rs" else Out()
+
+
 def frames(path: str, text: str) -> list[tuple[str, int]]:
     """(frame, line) of a text by the extension of its path; none for other extensions and empty texts."""
-    ext = path.rpartition(".")[2]
-    return python_frames(text) if ext in ("py", "pyi", "pyx") else rust_frames(text) if ext == "rs" else []
+    return [(f, line) for f, line, _ in _all(path, text, False)]
+
+
+def whole_frames(path: str, text: str) -> list[tuple[str, list[int]]]:
+    """(frame, lines of its tokens), nothing merged."""
+    return [(f, lines) for f, _, lines in _all(path, text, True)]

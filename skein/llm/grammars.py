@@ -11,7 +11,7 @@ from __future__ import annotations
 from skein.llm.chart import compile_rules
 
 PYTHON = """
-CtxLine : Simple ( ; Simple ) * ; ? | Header
+CtxLine : ( Simple ( ; Simple ) * ; ? | Header ) ?
 Header : if Named Body | elif Named Body | else Body | while Named Body | for Targets in Stars Body | async for Targets in Stars Body | try Body | finally Body | except Body | except Test ( as N ) ? Body | except '*' Test ( as N ) ? Body | with Item ( , Item ) * Body | async with Item ( , Item ) * Body | async ? def N Q ? P ( -> Test ) ? Body | class N Q ? P ? Body | @ Named | MATCH ( Named | NStar , NStars ? ) : | CASE Pats ( if Named ) ? Body
 Body : : ( Simple ( ; Simple ) * ; ? ) ?
 Item : Test ( as Target1 ) ?
@@ -104,6 +104,7 @@ CtxCases : ( case{} | case1 ) +
 
 RUST = """
 CtxItem : Item
+CtxMark : Item ?
 CtxStmt : Let ; | E ; | Item | ;
 CtxLoose : Blocky | Item | Let ;
 CtxTail : E | Macro
