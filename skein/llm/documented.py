@@ -1,14 +1,17 @@
 """Functions paired with their documentation.
 
-A function's documentation is what its record says; where that says nothing,
-the comments of its file are candidates. Comments and functions of a file are
-matched by a bipartite assignment of least cost: a link costs its distance in
-lines, less for parameter tags and words of the name that agree, more for tags
-that name other parameters; implausible links aren't offered. Descriptions
-that say nothing beyond the name are dropped.
-
-Work is split by file and, in long files, by stretches of lines, so that no
-task gets more functions at once than begin in one stretch.
+What a function's record states and the comments of its file are candidates.
+Functions and candidates of a file are matched by a bipartite assignment of
+least cost: a link costs its distance in lines, less for parameter tags and
+words of the name that agree, more for tags that name other parameters. A
+function takes one comment and its own record (at no distance) at most; the
+record is its documentation if both were matched. Implausible links and records
+that say nothing beyond the name aren't offered; a comment that says nothing
+still takes its function, so that no other one is put in its place.
+
+Functions with a place in a text they have meet it file by file, so that a
+group holds what one text holds; all others have their record alone and stay
+where they lie, so that rows without a path or a file are no group.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.triviality import _stem, _words, informative
 
-STRETCH = 4096  # lines
-REACH = 6  # lines between a comment and a function, beyond decorators and attributes
+REACH = 6  # lines between a comment and a function, beyond decorators, attributes and the function's head
 DEAREST = 7.0  # cost from which a link isn't plausible
 
 _PARAM = re.compile(r"(?::param(?:\s+[\w\[\], ]+)?\s+|@param\s+|\\param\s+)(\w+)")
 _ARGS = re.compile(r"(?m)^\s*(?:[*-]\s+)?`?(\w+)`?(?:\s*\([^)]*\))?\s*(?::| - )")
+_SETTING = re.compile(r"#!|#.*coding[:=]")  # fixed value: lines for the system or the tools, no comments
 _OPEN = re.compile(r"^\s*[rRuU]?(\"\"\"|''')")
 
 
@@ -53,6 +56,9 @@ def comments(content: str, rust: bool) -> list[tuple[int, int, str, bool]]:
     marks = ("///", "//!", "//") if rust else ("#",)
     while at < len(lines):
         bare, begin = lines[at].strip(), at
+        if at < 2 and not rust and _SETTING.match(bare):
+            at += 1
+            continue
         if bare.startswith(marks):
             block = []
             while at < len(lines) and lines[at].strip().startswith(marks):
@@ -75,19 +81,34 @@ def comments(content: str, rust: bool) -> list[tuple[int, int, str, bool]]:
     return found
 
 
-def _gap(lines: list[str], function: dict, comment: tuple[int, int, str, bool]) -> float | None:
-    """Lines between the two, not counting decorators, attributes, blank lines inside and the head of the function."""
+def reached(lines: list[str], comment: tuple[int, int, str, bool], starts: set[int]) -> list[tuple[int, float]]:
+    """(start, gap) of the functions, by their first lines, that a comment is near to.
+
+    The gap counts the lines between the two, without decorators, attributes,
+    the head of the function and, above a docstring, blank lines. Heads and
+    decorators may have any number of lines.
+    """
     first, last, _, inside = comment
-    start = int(function["line_start"])
-    if inside:
-        if not start < first <= start + 40:
-            return None
-        head = [x.strip() for x in lines[start - 1 : first - 1]]
-        done = next((i for i, x in enumerate(head) if x.endswith(":") and not x.startswith("@")), None)
-        return None if done is None else float(sum(bool(x) for x in head[done + 1 :]))
-    if not start - 40 <= last < start:
-        return None
-    return float(sum(not x.strip().startswith(("@", "#[")) for x in lines[last : start - 1]))
+    out, gap = [], 0
+    if not inside:
+        for s in range(last + 1, len(lines) + 1):
+            if s in starts:
+                out.append((s, float(gap)))
+            gap += not lines[s - 1].strip().startswith(("@", "#["))
+            if gap > REACH:
+                break
+        return out
+    head = -1  # the gap from the nearest end of a head above
+    for s in range(first - 1, 0, -1):
+        bare = lines[s - 1].strip()
+        if bare.endswith(":") and not bare.startswith("@"):
+            head = gap
+        if max(head, 0 if head >= 0 else gap) > REACH:
+            break
+        if s in starts and head >= 0:
+            out.append((s, float(head)))
+        gap += bool(bare)
+    return out
 
 
 def link_cost(gap: float, text: str, name: str, params: set[str]) -> float:
@@ -183,53 +204,73 @@ def functions(nodes: DataFrame) -> DataFrame:
     )
 
 
-def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def documented(nodes: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
     """(id, name, documentation, source, code) for every function or method with documentation that says something.
 
-    source is ``record`` or ``comment``. code is null where the file, its
-    content or the lines aren't known. An id in several rows counts once;
-    any informative record will do. Functions without either get no row.
+    source is ``record`` or ``comment``, by the candidate that the assignment
+    gave it. code (null if not asked for) is null where the file, its content
+    or the lines aren't known. An id in several rows counts once; any
+    informative record will do. Functions without either get no row.
     """
-    funcs = functions(nodes).withColumn("stretch", F.floor(F.coalesce(F.col("lines.line_start"), F.lit(0)) / STRETCH))
-    per_file = funcs.groupBy("file_path", "stretch").agg(F.collect_list(F.struct("id", "name", "metadata_json", "stated", "lines.line_start", "lines.line_end")).alias("functions"))
+    funcs = functions(nodes).select("id", "file_path", "name", "metadata_json", "stated", F.col("lines.line_start").alias("line_start"), F.col("lines.line_end").alias("line_end"))
+    known = "file_path IS NOT NULL AND line_start >= 1 AND line_end >= 1"
     texts = files.filter("content IS NOT NULL AND content <> ''").groupBy("rel_path").agg(F.first("content").alias("content"))
-    both = per_file.join(texts, per_file["file_path"] == texts["rel_path"], "left").select("file_path", "functions", "content")
+    sizes = texts.select(F.col("rel_path").alias("file_path"), (F.length("content") - F.length(F.translate("content", "\n", "")) + 1).alias("size"))
+    both = funcs.filter(known).join(sizes, "file_path", "left")
+    fields = [f for f in funcs.columns if f != "file_path"]
+    per_file = both.filter("line_start <= size").groupBy("file_path").agg(F.collect_list(F.struct(*fields)).alias("functions"))
+    placed = per_file.join(texts, per_file["file_path"] == texts["rel_path"]).select("file_path", "functions", "content")
+    alone = both.filter("size IS NULL OR line_start > size").select(*funcs.columns).unionByName(funcs.filter(f"NOT coalesce({known}, false)"))
+    schema = "id string, name string, documentation string, source string, code string"
+    columns = schema.replace(" string", "").split(", ")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for path, given, content in zip(batch["file_path"], batch["functions"], batch["content"]):
-                out += _match_file(path or "", sorted(given, key=lambda f: f["id"]), content)
-            yield pd.DataFrame(out, columns=["id", "name", "documentation", "source", "code"])
+                out += match_file(path, sorted(given, key=lambda f: f["id"]), content, code)
+            yield pd.DataFrame(out, columns=columns)
 
-    return both.mapInPandas(match, "id string, name string, documentation string, source string, code string")
+    def match_alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [row for f in batch.to_dict("records") for row in match_file("", [f], "", False)]
+            yield pd.DataFrame(out, columns=columns)
 
+    return placed.mapInPandas(match, schema).unionByName(alone.filter("stated IS NOT NULL").mapInPandas(match_alone, schema))
 
-def _match_file(path: str, given: list[dict], content: str | None) -> list[tuple]:
-    lines = content.splitlines() if content else []
-    placed = [i for i, f in enumerate(given) if lines and _known(f)]
-    found = comments(content, path.endswith(".rs")) if placed else []
+
+def match_file(path: str, given: list[dict], content: str, code: bool) -> list[tuple]:
+    """The rows of ``documented`` for functions of one file."""
+    lines = content.splitlines()
+    by_start: dict[int, list[int]] = {}
+    for i, f in enumerate(given):
+        if lines:
+            by_start.setdefault(int(f["line_start"]), []).append(i)
+    blocks = comments(content, path.endswith(".rs")) if lines else []
+    found = [c[2] for c in blocks]
+    params = [_parameters(f["metadata_json"]) for f in given]
     links = {}
-    for i in placed:
-        f = given[i]
-        params = _parameters(f["metadata_json"])
-        for j, c in enumerate(found):
-            gap = _gap(lines, f, c)
-            if gap is not None and gap <= REACH:
-                cost = link_cost(gap, c[2], f["name"] or "", params)
+    starts = set(by_start)
+    for j, c in enumerate(blocks):
+        for start, gap in reached(lines, c, starts):
+            for i in by_start[start]:
+                cost = link_cost(gap, c[2], given[i]["name"] or "", params[i])
                 if cost < DEAREST:
                     links[i, j] = cost
+    for i, f in enumerate(given):
+        if f["stated"]:  # informative, see ``functions``
+            cost = link_cost(0.0, f["stated"], f["name"] or "", params[i])
+            if cost < DEAREST:
+                links[len(given) + i, len(found) + i] = cost
     matched = assign(links, DEAREST)
     out = []
     for i, f in enumerate(given):
-        text, source = f["stated"], "record"
-        if not text and i in matched and informative(found[matched[i]][2], f["name"]):
-            text, source = found[matched[i]][2], "comment"
-        if text:
-            code = "\n".join(lines[int(f["line_start"]) - 1 : int(f["line_end"])]) if lines and _known(f) else None
-            out.append((f["id"], f["name"], text, source, code))
+        if len(given) + i in matched:
+            text, source = f["stated"], "record"
+        elif i in matched and informative(found[matched[i]], f["name"]):
+            text, source = found[matched[i]], "comment"
+        else:
+            continue
+        shown = "\n".join(lines[int(f["line_start"]) - 1 : int(f["line_end"])]) if code and lines else None
+        out.append((f["id"], f["name"], text, source, shown))
     return out
-
-
-def _known(f: dict) -> bool:
-    return all(f[k] is not None and f[k] == f[k] and f[k] >= 1 for k in ("line_start", "line_end"))

@@ -24,18 +24,19 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.failure_rates(p2_files(spark, d), table(spark, d, "files", "rel_path", "content"))
 
 
-def _documented(spark: SparkSession, d: str) -> DataFrame:
+def _documented(spark: SparkSession, d: str, code: bool) -> DataFrame:
     nodes = table(spark, d, "nodes", "id", "kind", "name", "file_path", "line_start", "line_end", "metadata_json", "semantic_json")
-    return documented.documented(nodes, table(spark, d, "files", "rel_path", "content"))
+    return documented.documented(nodes, table(spark, d, "files", "rel_path", "content"), code)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _documented(spark, d).filter("source = 'record'").select("id")
+    """Functions that the assignment gave what their record states."""
+    return _documented(spark, d, False).filter("source = 'record'").select("id")
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code and description of every function that has both."""
-    return _documented(spark, d).filter("code IS NOT NULL AND trim(code) <> ''")
+    return _documented(spark, d, True).filter("code IS NOT NULL AND trim(code) <> ''")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
