@@ -26,8 +26,6 @@ def _names(nodes: DataFrame, edges: DataFrame, name: str, depth: int, up: bool)
     """(name): names within fewer than ``depth`` calls of ``name``, itself included."""
     spark, scratch = nodes.sparkSession, Scratch(nodes.sparkSession, "walk")
     seen = spark.createDataFrame([(name,)], "name string")
-    if depth <= 1:
-        return seen.limit(max(0, depth))
     links = calls(edges).join(nodes.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id").select("source_name", "target_name").distinct()
     links = scratch.save(links)
     here, there = ("target_name", "source_name") if up else ("source_name", "target_name")
@@ -44,14 +42,18 @@ def _names(nodes: DataFrame, edges: DataFrame, name: str, depth: int, up: bool)
 
 def callers(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 1) -> DataFrame:
     """Nodes that call ``name`` within ``depth`` calls, once per call. An unknown name can have callers; depth 0 has none."""
-    names = _names(nodes, edges, name, depth, True).withColumnRenamed("name", "target_name")
-    return calls(edges).join(names, "target_name").join(nodes.withColumnRenamed("id", "source_id"), "source_id").select(F.col("source_id").alias("id"), *SHOWN[1:])
+    called = calls(edges)
+    if depth <= 1:
+        found = called.filter(F.col("target_name") == (name if depth == 1 else None))
+    else:
+        found = called.join(_names(nodes, edges, name, depth, True).withColumnRenamed("name", "target_name"), "target_name")
+    return found.join(nodes.withColumnRenamed("id", "source_id"), "source_id").select(F.col("source_id").alias("id"), *SHOWN[1:])
 
 
 def callees(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 1) -> DataFrame:
     """Nodes that ``name`` calls within ``depth`` calls, once per call and node of the called name."""
-    names = _names(nodes, edges, name, depth, False)
-    sources = nodes.select(F.col("id").alias("source_id"), "name").join(names, "name").select("source_id")
+    sources = nodes.select(F.col("id").alias("source_id"), "name")
+    sources = (sources.filter(F.col("name") == (name if depth == 1 else None)) if depth <= 1 else sources.join(_names(nodes, edges, name, depth, False), "name")).select("source_id")
     # calls are counted per name before they meet all nodes of that name
     called = calls(edges).join(sources, "source_id").groupBy(F.col("target_name").alias("name")).agg(F.count(F.lit(1)).alias("times"))
     return nodes.join(called, "name").select(*SHOWN, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__i")).drop("__i")

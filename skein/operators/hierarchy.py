@@ -14,7 +14,12 @@ burden. Rounds grow with the logarithm of the depth and the number of nodes,
 and each round's tables shrink. What never ends is a loop: compression turns it
 into a node that is its own parent, whose w is the loop's length.
 
-Expansion runs the records backwards: a raked node gets root and depth from
+After a round in which raking alone took half of the links, compression can be
+left for the next one (``always`` compresses in every round; the results are
+the same).
+
+Expansion runs the records backwards, where children of the few parents with
+most links meet these parents by a broadcast of at most 200 rows: a raked node gets root and depth from
 its parent, a spliced node from its child, and a node lies on a loop exactly
 if it was spliced over a child that does.
 """
@@ -24,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import hot_values
 from skein.scratch import Scratch
 
 MAX_ROUNDS = 200  # log-many are needed; a safeguard against input that changes between reads
@@ -47,13 +53,16 @@ def _children(links: DataFrame, first: bool) -> DataFrame:
 class Contraction:
     """One run; the records of each round are written tables."""
 
-    def __init__(self, links: DataFrame, paths: bool):
+    def __init__(self, links: DataFrame, paths: bool, always: bool = False):
+        self.always = always
         self.scratch = Scratch(links.sparkSession, "hierarchy")
         self.paths = paths
         self.records: list[DataFrame] = []
         self.loops: list[DataFrame] = []
         extra = [F.array().cast("array<string>").alias("seg")] if paths else []
         self.base = self.scratch.save(links.select("child", "parent", F.lit(1).cast("bigint").alias("w"), *extra))
+        # splicing gives no parent more children than it had at first, so these are the hot ones of every round
+        self.hot = hot_values(self.base.select("parent"), "parent", 0.005)
 
     def _split_loops(self, links: DataFrame) -> DataFrame:
         """Take finished loops (a node that is its own parent) out of the links."""
@@ -75,7 +84,7 @@ class Contraction:
             before, size = size, inner.count()
             if not size:
                 return
-            if size * 2 <= before:  # raking alone shrinks the tree fast enough
+            if size * 2 <= before and not self.always:  # raking alone shrinks the tree fast enough
                 links = inner
                 continue
             known = self.scratch.save(inner.join(_children(inner, True).filter("n = 1"), F.col("child") == F.col("node"), "left").drop("node", "n"))
@@ -117,7 +126,12 @@ class Contraction:
         schema, tables = start.schema, [scratch.write(start)]
         for records in reversed(self.records):
             done = spark.read.schema(schema).parquet(*tables)
-            found = records.join(done.withColumnRenamed("id", "anchor"), "anchor")
+            done = done.withColumnRenamed("id", "anchor")
+            if self.hot:
+                hot = F.col("anchor").isin(self.hot)
+                found = records.filter(~hot).join(done.filter(~hot), "anchor").unionByName(records.filter(hot).join(F.broadcast(done.filter(hot)), "anchor"))
+            else:
+                found = records.join(done, "anchor")
             new = found.select(
                 "id",
                 "root",
@@ -131,7 +145,7 @@ class Contraction:
         return spark.read.schema(schema).parquet(*tables)
 
 
-def hierarchy(pairs: DataFrame, child: str, parent: str, paths: bool = False) -> DataFrame:
+def hierarchy(pairs: DataFrame, child: str, parent: str, paths: bool = False, always: bool = False) -> DataFrame:
     """(id, root_id, depth, state[, path]) for every id of either column.
 
     state ``tree``: depth counts the links below the root (a root has 0), path
@@ -142,7 +156,7 @@ def hierarchy(pairs: DataFrame, child: str, parent: str, paths: bool = False) ->
     several parents the smallest is kept, an empty table gives no rows. All
     other columns are ignored.
     """
-    run = Contraction(parent_links(pairs, child, parent), paths)
+    run = Contraction(parent_links(pairs, child, parent), paths, always)
     run.contract()
     found = run.expand()
     on = found.filter("on_loop").groupBy("root").agg(F.min("id").alias("smallest"))

@@ -16,8 +16,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from skein.operators.skew import hot_values
+from skein.operators.skew import hot_keys
 
 MATCHES = ("simple", "full", "partial")
 
@@ -52,9 +53,9 @@ def orphans(
     All other columns of ``refs`` pass through; keys' names can't clash as
     they are renamed.
 
-    Single-column references to a few hot keys are joined with a broadcast
-    of those keys (at most 1/``hot_share`` rows), so no task gets all rows of
-    a hot key; the rest are joined by shuffle.
+    References to a few hot keys, of any number of columns, are joined with a
+    broadcast of those keys (at most 1/``hot_share`` rows), so no task gets all
+    rows of a hot key; the rest are joined by shuffle.
     """
     if match not in MATCHES:
         raise ValueError(f"match is one of {', '.join(MATCHES)}")
@@ -84,16 +85,24 @@ def orphans(
 
 
 def _joined(rows: DataFrame, present: DataFrame, on: list[tuple[str, str]], hot_share: float) -> list[DataFrame]:
-    cond = None
+    cond = F.lit(True)
     for r, n in on:
-        cond = (F.col(r) == F.col(n)) if cond is None else cond & (F.col(r) == F.col(n))
-    hot = hot_values(rows.select(on[0][0]), on[0][0], hot_share) if len(on) == 1 else []
+        cond = cond & (F.col(r) == F.col(n))
+    columns = [r for r, _ in on]
+    hot = hot_keys(rows, columns, hot_share)
     if not hot:
         return [rows.join(present, cond, "left")]
-    r, n = on[0]
+    named = rows.sparkSession.createDataFrame(hot, StructType([StructField(f"__hot{i}", rows.schema[r].dataType) for i, r in enumerate(columns)]))
+    these = F.lit(True)
+    for i, r in enumerate(columns):
+        these = these & (F.col(r) == F.col(f"__hot{i}"))
+    few = F.broadcast(named)  # at most 1/hot_share rows
+    known = F.lit(True)
+    for i, (_, n) in enumerate(on):
+        known = known & (F.col(n) == F.col(f"__hot{i}"))
     return [
-        rows.filter(F.col(r).isin(hot)).join(F.broadcast(present.filter(F.col(n).isin(hot))), cond, "left"),
-        rows.filter(~F.col(r).isin(hot)).join(present.filter(~F.col(n).isin(hot)), cond, "left"),
+        rows.join(few, these, "left_semi").join(F.broadcast(present.join(few, known, "left_semi")), cond, "left"),
+        rows.join(few, these, "left_anti").join(present, cond, "left"),
     ]
 
 
@@ -118,6 +127,6 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("source_id", "target_id", "kind").agg(F.min(F.struct("seen_at", "state")).alias("s")).select("source_id", "target_id", "kind", "s.state", "s.seen_at")
 
 
-def orphan_report(found: DataFrame, table: str) -> DataFrame:
-    """(table_name, kind, month, state, n): counts of ``edge_orphans`` per kind and month of ``seen_at`` (null month where it is null)."""
-    return found.groupBy(F.lit(table).alias("table_name"), "kind", F.date_format("seen_at", "yyyy-MM").alias("month"), "state").agg(F.count(F.lit(1)).alias("n"))
+def orphan_report(found: DataFrame, table: str, kind: str = "kind", at: str = "seen_at") -> DataFrame:
+    """(table_name, kind, month, state, n): counts of orphans per kind and month of ``at`` (null month where it is null)."""
+    return found.groupBy(F.lit(table).alias("table_name"), F.col(kind).alias("kind"), F.date_format(at, "yyyy-MM").alias("month"), "state").agg(F.count(F.lit(1)).alias("n"))

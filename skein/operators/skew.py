@@ -69,11 +69,25 @@ def fan_states(edges: DataFrame, distinct: bool = False) -> DataFrame:
 
     Every stored row counts; a row with one null end counts at its other end.
     The states of null ends are kept as rows with a null id (their counts are
-    needed for totals).
+    needed for totals). With ``distinct``, rows are first aggregated to the
+    distinct pairs of ends, whose keys are spread evenly, and both sides are
+    rolled up from these pairs in one more aggregation.
     """
-    out = key_state(edges.select("source_id", "target_id") if distinct else edges.select("source_id"), "source_id", "out", other="target_id" if distinct else None)
-    into = key_state(edges.select("source_id", "target_id") if distinct else edges.select("target_id"), "target_id", "in", other="source_id" if distinct else None)
-    return join_states(out, into)
+    if not distinct:
+        return join_states(key_state(edges.select("source_id"), "source_id", "out"), key_state(edges.select("target_id"), "target_id", "in"))
+    pairs = edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    other = lambda c: F.col(c).isNotNull().cast("bigint")
+    ends = pairs.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("source_id").alias("id"), F.col("n").alias("out_rows"), zero.alias("in_rows"), other("target_id").alias("out_others"), zero.alias("in_others")),
+                F.struct(F.col("target_id").alias("id"), zero.alias("out_rows"), F.col("n").alias("in_rows"), zero.alias("out_others"), other("source_id").alias("in_others")),
+            )
+        )
+    )
+    # an id without rows on a side has 0 there; null ends have a row of their own, as in the join of states
+    return ends.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("out_rows", "in_rows", "out_others", "in_others")))
 
 
 def hot_ids(edges: DataFrame, share: float = 0.02) -> DataFrame:
@@ -90,8 +104,13 @@ def hot_ids(edges: DataFrame, share: float = 0.02) -> DataFrame:
     return sides.filter((F.col("n") > 0) & (F.col("n") >= least - 1e-6)).select("side", "id")
 
 
-def hot_values(df: DataFrame, column: str, share: float = 0.005) -> list[str]:
-    """Values that hold at least ``share`` of the rows: at most 1/share of them, so safe to hold on the driver."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def hot_keys(df: DataFrame, columns: Sequence[str], share: float = 0.005) -> list[tuple]:
+    """Keys (without nulls) that hold at least ``share`` of the rows: at most 1/share of them, so safe to hold on the driver."""
+    counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     total = df.count()
-    return [r[0] for r in counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).collect()] if total else []
+    return [tuple(r)[:-1] for r in counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).collect()] if total else []
+
+
+def hot_values(df: DataFrame, column: str, share: float = 0.005) -> list[str]:
+    """``hot_keys`` of one column."""
+    return [k for (k,) in hot_keys(df, [column], share)]

@@ -58,17 +58,42 @@ def _edge_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan edges per kind and month of seen_at."""
-    return R.orphan_report(_edge_orphans(spark, d), "edges")
+    """Orphans of every declared reference per table, kind and month: edges to nodes, nodes to files, diagnostics and files to builds and files."""
+    nodes = table(spark, d, "nodes", "id", "kind", "file_path", "seen_at").distinct()
+    no_file = R.orphans(nodes, table(spark, d, "files", "rel_path"), ["file_path"], ["rel_path"])
+    files = table(spark, d, "files", "rel_path", "language", "repo", "build_id", "scanned_at").distinct()
+    no_build = R.orphans(files, table(spark, d, "builds", "repo", "build_id"), ["repo", "build_id"], ["repo", "build_id"], "partial")
+    reports = [R.orphan_report(_edge_orphans(spark, d), "edges"), R.orphan_report(no_file, "nodes"), R.orphan_report(no_build, "files", "language", "scanned_at"), R.orphan_report(p5_diagnostics(spark, d), "diagnostics", "severity", "logged_at")]
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def p5_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    """Diagnostics whose (file, build) no row of files has, where a null build stands for any (match partial)."""
-    refs = table(spark, d, "diagnostics", "file_path", "build_id", "line", "message").distinct()
-    return R.orphans(refs, table(spark, d, "files", "rel_path", "build_id"), ["file_path", "build_id"], ["rel_path", "build_id"], "partial")
+    """Diagnostics whose (file, build) isn't wholly known (match full): no row of files has it, or one of the two is null."""
+    refs = table(spark, d, "diagnostics", "file_path", "build_id", "line", "message", "severity", "logged_at").distinct()
+    return R.orphans(refs, table(spark, d, "files", "rel_path", "build_id"), ["file_path", "build_id"], ["rel_path", "build_id"], "full")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fan, p1_kind_walks, p3_found, p3_paths, p3_descendants, p5_found, p5_report, p5_diagnostics)}
+def _symbols(match: str):
+    """Edges that name a symbol (file, module path, name) that no node is; names that weren't resolved have no module path."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        def parts(df: DataFrame, column: str, prefix: str) -> DataFrame:
+            key = F.split(column, "::")
+            blank = lambda c: F.when(c != "", c)
+            return df.withColumns({f"{prefix}_file": blank(F.get(key, F.lit(0))), f"{prefix}_module": blank(F.get(key, F.lit(1))), f"{prefix}_name": blank(F.get(key, F.lit(2)))})
+
+        refs = parts(table(spark, d, "edges", "source_id", "target_id", "kind").distinct(), "target_id", "to")
+        keys = parts(table(spark, d, "nodes", "id"), "id", "own")
+        names = ("file", "module", "name")
+        return R.orphans(refs, keys, [f"to_{x}" for x in names], [f"own_{x}" for x in names], match).select("source_id", "target_id", "kind", "state", "null_mask")
+
+    return run
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_fan, p1_kind_walks, p3_found, p3_paths, p3_descendants, p5_found, p5_report, p5_diagnostics)} | {f"p5_symbols_{m}": _symbols(m) for m in R.MATCHES}
 
 _CHAIN = """
 WITH RECURSIVE pairs AS (SELECT target_id AS child, min(source_id) AS parent FROM edges WHERE kind = 'contains' AND source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1),
@@ -99,9 +124,27 @@ UNION ALL SELECT DISTINCT u.id, 'below_loop', l.root_id, -1, NULL FROM up u JOIN
     "p3_descendants": _CHAIN
     + ", pairs2(ancestor_id, id, distance) AS (SELECT parent, child, 1::BIGINT FROM pairs WHERE child IN (SELECT id FROM tree) UNION ALL SELECT a.ancestor_id, p.child, a.distance + 1 FROM pairs2 a JOIN pairs p ON p.parent = a.id) SELECT * FROM pairs2",
     "p5_found": _ORPHANS + "SELECT source_id, target_id, kind, state FROM o WHERE state IS NOT NULL",
-    "p5_report": _ORPHANS + "SELECT 'edges' AS table_name, kind, strftime(seen_at, '%Y-%m') AS month, state, count(*) AS n FROM o WHERE state IS NOT NULL GROUP BY ALL",
-    "p5_diagnostics": """WITH r AS (SELECT DISTINCT file_path, build_id, line, message FROM diagnostics)
-SELECT *, 'missing' AS state, (CASE WHEN file_path IS NULL THEN '-' ELSE 'x' END) || (CASE WHEN build_id IS NULL THEN '-' ELSE 'x' END) AS null_mask FROM r
-WHERE (file_path IS NOT NULL OR build_id IS NOT NULL)
-AND NOT EXISTS (SELECT 1 FROM files f WHERE (r.file_path IS NULL OR f.rel_path = r.file_path) AND (r.build_id IS NULL OR f.build_id = r.build_id))""",
+    "p5_report": _ORPHANS
+    + """, d AS (SELECT DISTINCT file_path, build_id, line, message, severity, logged_at FROM diagnostics),
+r AS (SELECT 'edges' AS table_name, kind, seen_at AS happened, state FROM o WHERE state IS NOT NULL
+UNION ALL SELECT 'nodes', kind, seen_at, 'missing' FROM (SELECT DISTINCT id, kind, file_path, seen_at FROM nodes) x WHERE file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files f WHERE f.rel_path = x.file_path)
+UNION ALL SELECT 'files', language, scanned_at, 'missing' FROM (SELECT DISTINCT rel_path, language, repo, build_id, scanned_at FROM files) x WHERE (repo IS NOT NULL OR build_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM builds b WHERE (x.repo IS NULL OR b.repo = x.repo) AND (x.build_id IS NULL OR b.build_id = x.build_id))
+UNION ALL SELECT 'diagnostics', severity, logged_at, 'mixed' FROM d WHERE (file_path IS NULL) <> (build_id IS NULL)
+UNION ALL SELECT 'diagnostics', severity, logged_at, 'missing' FROM d WHERE file_path IS NOT NULL AND build_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files f WHERE f.rel_path = d.file_path AND f.build_id = d.build_id))
+SELECT table_name, kind, strftime(happened, '%Y-%m') AS month, state, count(*) AS n FROM r GROUP BY ALL""",
+    "p5_diagnostics": """WITH r AS (SELECT DISTINCT file_path, build_id, line, message, severity, logged_at FROM diagnostics)
+SELECT *, CASE WHEN file_path IS NULL OR build_id IS NULL THEN 'mixed' ELSE 'missing' END AS state, (CASE WHEN file_path IS NULL THEN '-' ELSE 'x' END) || (CASE WHEN build_id IS NULL THEN '-' ELSE 'x' END) AS null_mask FROM r
+WHERE (file_path IS NULL) <> (build_id IS NULL) OR file_path IS NOT NULL AND build_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files f WHERE f.rel_path = r.file_path AND f.build_id = r.build_id)""",
+}
+
+_PARTS = "nullif(split_part({0}, '::', 1), '') AS f, nullif(split_part({0}, '::', 2), '') AS m, nullif(split_part({0}, '::', 3), '') AS n"
+_SYMBOLS = f"""WITH e AS (SELECT *, (CASE WHEN f IS NULL THEN '-' ELSE 'x' END) || (CASE WHEN m IS NULL THEN '-' ELSE 'x' END) || (CASE WHEN n IS NULL THEN '-' ELSE 'x' END) AS null_mask
+FROM (SELECT DISTINCT source_id, target_id, kind, {_PARTS.format('target_id')} FROM edges)), k AS (SELECT DISTINCT {_PARTS.format('id')} FROM nodes),
+h AS (SELECT e.*, EXISTS (SELECT 1 FROM k WHERE k.f = e.f AND k.m = e.m AND k.n = e.n) AS whole, EXISTS (SELECT 1 FROM k WHERE k.f = e.f AND k.n = e.n) AS named, EXISTS (SELECT 1 FROM k WHERE k.f = e.f) AS filed FROM e)
+SELECT source_id, target_id, kind, state, null_mask FROM (SELECT *, CASE {{}} END AS state FROM h) WHERE state IS NOT NULL"""
+# targets have a file and a name, so that the masks are xxx and x-x (and --- for a null target)
+ORACLES |= {
+    "p5_symbols_simple": _SYMBOLS.format("WHEN null_mask = 'xxx' AND NOT whole THEN 'missing'"),
+    "p5_symbols_partial": _SYMBOLS.format("WHEN null_mask = 'xxx' AND NOT whole OR null_mask = 'x-x' AND NOT named THEN 'missing'"),
+    "p5_symbols_full": _SYMBOLS.format("WHEN null_mask = 'xxx' AND NOT whole THEN 'missing' WHEN null_mask NOT IN ('xxx', '---') THEN 'mixed'"),
 }

@@ -83,12 +83,12 @@ def _ordered(spark, d):
 
 def c4_import_files(spark, d):
     nodes, edges = _ordered(spark, d)
-    return C.import_files(edges, C.file_paths(nodes))
+    return C.import_files(edges, C.file_paths(nodes), many=True)
 
 
 def c6_resolved_calls(spark, d):
     nodes, edges = _ordered(spark, d)
-    out = C.resolve_calls(edges, nodes).filter("kind = 'calls'")
+    out = C.resolve_calls(edges, nodes, many=True).filter("kind = 'calls'")
     return out.groupBy("source_id", "target_id", ids.target_name(F.col("metadata_json")).alias("target_name"), "resolved").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -203,7 +203,7 @@ _EDGES = _now("edges", "source_id, target_id, kind", "seen_at, ingested_at", "me
 _FILES = _now("files", "rel_path", "scanned_at, ingested_at", "content_hash")
 _IMPORTS = """w AS (SELECT split_part(source_id, '::', 1) AS file, split_part(target_id, '::', 3) AS name, epoch_us(seen_at) AS ord, coalesce(json_extract_string(metadata_json, '$.import_module'), split_part(target_id, '::', 3)) AS m FROM edges_now WHERE kind = 'imports'),
 f AS (SELECT DISTINCT file_path FROM nodes_now WHERE kind = 'file'),
-x AS (SELECT file, name, ord, m, r, CASE r WHEN 0 THEN m || '.py' WHEN 1 THEN replace(m, '.', '/') || '.py' ELSE replace(m, '.', '/') || '/__init__.py' END AS imported FROM w, (VALUES (0), (1), (2)) t(r)),
+x AS (SELECT file, name, ord, m, r, split_part(file, '/', 1) || '/' || CASE r WHEN 0 THEN m || '.py' WHEN 1 THEN replace(m, '.', '/') || '.py' ELSE replace(m, '.', '/') || '/__init__.py' END AS imported FROM w, (VALUES (0), (1), (2)) t(r)),
 y AS (SELECT file, name, ord, arg_min(imported, r) AS imported FROM x JOIN f ON f.file_path = x.imported GROUP BY file, name, ord),
 i AS (SELECT file, imported FROM y QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY ord DESC NULLS LAST, imported DESC) = 1)"""
 _GRAPH = f"WITH RECURSIVE {_NODES}, {_EDGES}, calls AS (SELECT source_id, json_extract_string(metadata_json, '$.target_name') AS target_name FROM edges_now WHERE kind = 'calls' AND json_extract_string(metadata_json, '$.target_name') IS NOT NULL), links AS (SELECT DISTINCT n.name AS source_name, c.target_name FROM calls c JOIN nodes_now n ON n.id = c.source_id)"
