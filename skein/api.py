@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.operators import graph, search
+from skein.operators import graph, search, semantic
 from skein.operators.incremental import build
 from skein.operators.store import IR_VERSION, Store
 from skein.sources.repository import scan
@@ -58,13 +59,22 @@ class Engine:
     def search(self, *terms: str, some: tuple[str, ...] = (), never: tuple[str, ...] = ()) -> DataFrame:
         return search.search(self.nodes, terms, some, never)
 
+    def by_purpose(self, *words: str) -> DataFrame:
+        return semantic.by_purpose(self.nodes, words)
+
+    def by_tag(self, tag: str) -> DataFrame:
+        return semantic.by_tag(self.nodes, tag)
+
+    def by_risk(self, least: str = "low") -> DataFrame:
+        return semantic.by_risk(self.nodes, least)
+
     def status(self) -> DataFrame:
         return graph.totals(self.nodes, self.edges, IR_VERSION)
 
 
 def _folder(path: str) -> str:
     """A store's folder, or that of a repository's store."""
-    return path if os.path.exists(os.path.join(path, "CURRENT")) else os.path.join(path, ".skein")
+    return path if glob.glob(os.path.join(path, "CURRENT-*")) else os.path.join(path, ".skein")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.ids import target_name
+from skein.functions.ids import file_of, target_name
 from skein.scratch import Scratch
 
 SHOWN = ("id", "kind", "name", "file_path", "line_start")
@@ -113,6 +113,17 @@ def totals(nodes: DataFrame, edges: DataFrame, version: int = 1) -> DataFrame:
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_nodes"), F.coalesce(F.sum("e"), F.lit(0)).cast("bigint").alias("total_edges"), F.lit(version).cast("bigint").alias("ir_version"))
 
 
+def result_count(found: DataFrame) -> DataFrame:
+    """One row: n, the size of a result, and distinct_ids."""
+    return found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("distinct_ids"))
+
+
+def import_names(edges: DataFrame) -> DataFrame:
+    """(file, n, names): how many imports each file has, and their names in order, joined by commas."""
+    rows = edges.filter("kind = 'imports'").select(file_of(F.col("source_id")).alias("file"), F.get(F.split("target_id", "::"), F.lit(2)).alias("name"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+
+
 def call_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, most: int = 10) -> list[str]:
     """Names on a shortest call path from ``start`` to ``goal`` of at most ``most`` calls (the smallest names where several are as short); [] if none.
 

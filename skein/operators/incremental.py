@@ -32,7 +32,8 @@ def build(spark: SparkSession, root: str, folder: str, force: bool = False, prun
     changed or went stay, unless ``prune``, which removes them and resolves
     against all nodes. Counts of nodes and edges are those extracted; stored
     rows are fewer, as keys repeat. A file that can't be read or parsed is a
-    diagnostic.
+    diagnostic; those of files that are read again replace what was said before.
+    Everything becomes current in one commit.
     """
     began = time.time()
     store, scratch = Store(spark, folder), Scratch(spark, "build")
@@ -42,19 +43,20 @@ def build(spark: SparkSession, root: str, folder: str, force: bool = False, prun
     todo = files if told is None else files.join(told.filter("change IN ('new', 'changed')"), "rel_path", "left_semi")
     rows = scratch.save(X.extract(todo, all_names))
     nodes, edges = X.nodes(rows), X.edges(rows)
+    known, gone = nodes, None
     if prune and told is not None:
-        stale = told.filter("change IN ('changed', 'gone')").select(F.col("rel_path").alias("file_path"))
-        keep = store.table("nodes").join(stale, "file_path", "left_anti")
-        old_edges = store.table("edges")
-        store.commit(nodes=keep, edges=old_edges.join(stale, F.substring_index("source_id", "::", 1) == F.col("file_path"), "left_anti"), hashes=before.join(stale.withColumnRenamed("file_path", "rel_path"), "rel_path", "left_anti"))
-        known = store.table("nodes").withColumn("ord", F.coalesce("line_start", F.lit(0))).unionByName(nodes)
-    else:
-        known = nodes
+        gone = scratch.save(told.filter("change IN ('changed', 'gone')").select("rel_path"))
+        keep = store.table("nodes").join(gone.withColumnRenamed("rel_path", "file_path"), "file_path", "left_anti")
+        known = keep.withColumn("ord", F.coalesce("line_start", F.lit(0))).select(*nodes.columns).unionByName(nodes)
     resolved = scratch.save(resolve_calls(edges, known))
-    store.persist(nodes, resolved.drop("rel_path", "resolved"), files.select("rel_path", "content_hash"))
-    if X.diagnostics(rows).limit(1).count():
-        store.commit(diagnostics=X.diagnostics(rows))
-    return build_stats(files, rows, resolved).withColumn("duration_ms", F.lit(int((time.time() - began) * 1000)).cast("bigint"))
+    told_off = store.table("diagnostics")
+    # of every file that was read again, what was said about it goes
+    mended = todo.select("rel_path") if told_off is not None else None
+    store.persist(nodes, resolved.drop("rel_path", "resolved"), files.select("rel_path", "content_hash"), X.diagnostics(rows), gone, mended)
+    stats = build_stats(files, rows, resolved).withColumn("duration_ms", F.lit(int((time.time() - began) * 1000)).cast("bigint"))
+    stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row
+    scratch.clear()
+    return stats
 
 
 def build_stats(files: DataFrame, rows: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Terms are words, ``prefix*`` or phrases of several words; all of ``every``,
 one of ``some`` and none of ``never`` must match. Tokens are runs of letters
-and digits in lower case. Rank is bm25 (k1 1.2, b 0.75, both columns alike),
+and digits in lower case without diacritics (``anadir`` finds ``añadir``). Rank is bm25 (k1 1.2, b 0.75, both columns alike),
 the more negative the better. One pass counts what the rank needs, a second
 scores and keeps the top rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,22 @@ from pyspark.sql import functions as F
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+# letters of Latin script that are a plain letter with marks, by the decompositions of Unicode
+_MARKED = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+_PLAIN = {c: d[0] for c, d in _MARKED.items() if len(d) > 1 and d[0].isascii()}
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without diacritics."""
+    return F.regexp_replace(F.translate(F.lower(text), "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{M}+", "")
+
+
+def _fold(term: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c))
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -29,7 +44,7 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 def _hits(term: str, columns: Sequence[str]) -> Column:
     """How often the term occurs."""
-    words = [w for w in "".join(c if c.isalnum() or c == "*" else " " for c in term.lower()).split() if w != "*"]
+    words = [w for w in "".join(c if c.isalnum() or c == "*" else " " for c in _fold(term)).split() if w != "*"]
     if not words:
         raise ValueError(f"a term without letters or digits: {term!r}")
     prefix = words[-1].endswith("*")

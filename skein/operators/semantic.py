@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.ids import json_object
+from skein.operators.search import tokens
+
 REPLY = "purpose string, summary string, responsibility array<string>, business_capability array<string>, design_pattern array<string>, risks array<struct<severity:string,category:string,description:string>>"
 SEVERITIES = ("low", "medium", "high", "critical")
 SNIPPET_BYTES = 2000  # fixed value: longest snippet in a prompt
@@ -36,7 +39,7 @@ def prompts(nodes: DataFrame, snippets: DataFrame) -> DataFrame:
         F.concat(kind, F.lit(": "), F.col("name")),
         F.concat(F.lit("Parameters: "), shown),
         F.concat(F.lit("Returns: "), field("return_type")),
-        F.concat(F.lit("Docstring: "), F.get_json_object("semantic_json", "$.purpose")),
+        F.concat(F.lit("Docstring: "), F.get_json_object(json_object(F.col("semantic_json")), "$.purpose")),
         F.concat(F.lit("File: "), F.col("file_path"), F.lit(":"), F.coalesce(F.col("line_start").cast("string"), F.lit("0"))),
         F.concat(F.lit("```\n"), snippet, F.lit("\n```")),
     ]
@@ -51,15 +54,46 @@ def parse_reply(reply: str | F.Column) -> F.Column:
     none = F.array().cast("array<string>")
     risks = F.transform(F.coalesce(p["risks"], F.array().cast("array<struct<severity:string,category:string,description:string>>")), lambda r: F.struct(F.when(F.lower(r["severity"]).isin(*SEVERITIES), F.lower(r["severity"])).otherwise("low").alias("severity"), r["category"].alias("category"), r["description"].alias("description")))
     parsed = F.struct(p["purpose"].alias("purpose"), p["summary"].alias("summary"), *(F.coalesce(p[c], none).alias(c) for c in ("responsibility", "business_capability", "design_pattern")), risks.alias("risks"))
-    return F.when(bare.startswith("{") & bare.rlike(r"\}\s*$") & p.isNotNull(), parsed)
+    return F.when(json_object(bare).isNotNull() & p.isNotNull(), parsed)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Functions, methods and classes whose record has no summary, with ``signature``, the last part of their key."""
-    summary = F.get_json_object("semantic_json", "$.summary")
+    summary = F.get_json_object(json_object(F.col("semantic_json")), "$.summary")
     return nodes.filter("kind IN ('function', 'method', 'class')").filter(F.coalesce(F.trim(summary), F.lit("")) == "").withColumn("signature", F.element_at(F.split("id", "::"), -1))
 
 
+def cache_size(nodes: DataFrame) -> DataFrame:
+    """One row: n, the answers that ``enrich`` keeps, one for each name and signature of the candidates."""
+    return candidates(nodes).select("name", "signature").distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+def records(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the struct ``semantic`` of their record; those without a readable record are left out."""
+    return nodes.withColumn("semantic", parse_reply("semantic_json")).filter("semantic IS NOT NULL")
+
+
+def by_purpose(nodes: DataFrame, words: Sequence[str]) -> DataFrame:
+    """Nodes whose recorded purpose holds all of the words."""
+    said = tokens(F.col("semantic.purpose"))
+    wanted = F.lit(True)
+    for w in words:
+        wanted = wanted & F.arrays_overlap(said, tokens(F.lit(w)))
+    return records(nodes).filter(wanted).drop("semantic")
+
+
+def by_tag(nodes: DataFrame, tag: str) -> DataFrame:
+    """Nodes whose record has the tag as a responsibility, business capability or design pattern."""
+    s = F.col("semantic")
+    return records(nodes).filter(F.array_contains(s["responsibility"], tag) | F.array_contains(s["business_capability"], tag) | F.array_contains(s["design_pattern"], tag)).drop("semantic")
+
+
+def by_risk(nodes: DataFrame, least: str = "low") -> DataFrame:
+    """Nodes whose record has a risk of at least this severity."""
+    severe = SEVERITIES[SEVERITIES.index(least) :]
+    return records(nodes).filter(F.exists("semantic.risks", lambda r: r["severity"].isin(*severe))).drop("semantic")
+
+
 def enrich(nodes: DataFrame, snippets: DataFrame, provider: Callable[[str], str] = no_provider) -> DataFrame:
     """(id, semantic_json) of the candidates for which the provider gave a reply that parses.
 

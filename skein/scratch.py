@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def sweep(spark: SparkSession, hours: float = 48) -> None:
+    """Delete the intermediate tables in the shared folder that are older than ``hours``.
+
+    Tables that an operator's result still reads can't be deleted by the
+    operator itself, as the result is evaluated later.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/skein")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(top) if fs.exists(top) else ():
+        if s.getModificationTime() < (time.time() - hours * 3600) * 1000:
+            fs.delete(s.getPath(), True)
+
+
 class Scratch:
     """Tables of one run of an operator, each below its own name."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/skein/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def write(self, df: DataFrame) -> str:
