@@ -106,9 +106,9 @@ def hot_ids(edges: DataFrame, share: float = 0.02) -> DataFrame:
 
 def hot_keys(df: DataFrame, columns: Sequence[str], share: float = 0.005) -> list[tuple]:
     """Keys (without nulls) that hold at least ``share`` of the rows: at most 1/share of them, so safe to hold on the driver."""
-    counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     total = df.count()
-    return [tuple(r)[:-1] for r in counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).collect()] if total else []
+    return [tuple(r)[:-1] for r in counts.filter(F.col("__n") >= F.lit(max(1.0, share * total))).collect()] if total else []
 
 
 def hot_values(df: DataFrame, column: str, share: float = 0.005) -> list[str]:

@@ -51,6 +51,42 @@ def a6_id_parts(spark, d):
     return table(spark, d, "nodes", "id").dropna().distinct().select("id", key["file_path"].alias("file_path"), F.array_join(key["module_path"], ".").alias("module_path"), key["name"].alias("name"), key["signature_hash"].alias("signature_hash"), ids.display(F.col("id")).alias("shown"))
 
 
+def a6_decoded_nodes(spark, d):
+    """Distinct stored nodes as they are read back."""
+    return ids.decoded_nodes(table(spark, d, "nodes", "id", "kind", "name", "file_path", "visibility", "metadata_json", "semantic_json").distinct())
+
+
+def a6_decoded_edges(spark, d):
+    return ids.decoded_edges(table(spark, d, "edges", "source_id", "target_id", "kind", "metadata_json").distinct())
+
+
+def g3_result_count(spark, d):
+    return G.result_count(G.callers(now_nodes(spark, d), now_edges(spark, d), "open_span", 1))
+
+
+def g3_import_names(spark, d):
+    return G.import_names(now_edges(spark, d))
+
+
+def h2_folded_words(spark, d):
+    """How many documents hold each of the common words, without regard to case and diacritics."""
+    words = table(spark, d, "common_words", "word").select(S.folded(F.col("word")).alias("word")).dropna().distinct()
+    held = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("word"))
+    return held.join(words, "word").groupBy("word").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+def i8_cache_size(spark, d):
+    return M.cache_size(now_nodes(spark, d))
+
+
+def m_by_risk(spark, d):
+    return M.by_risk(now_nodes(spark, d), "high").select("id", "name")
+
+
+def m_by_purpose(spark, d):
+    return M.by_purpose(now_nodes(spark, d), ["Liefert", "zuruck"]).select("id", "name")
+
+
 def a7_find_keys(spark, d):
     return G.find_keys(now_nodes(spark, d), "open_span")
 
@@ -179,7 +215,7 @@ def m_edges_of_kind(spark, d):
     return G.list_edges(now_edges(spark, d), "inherits").select("source_id", "target_id")
 
 
-_FUNCTIONS = (e2_nodes_upsert, e3_edges_upsert, a3_languages, a6_id_parts, a7_find_keys, b18_module_paths, b2_extract_nodes, b10_extract_edges, d7_extract_diagnostics, c4_import_files, c6_resolved_calls, d4_changes, d6_build_report, f3_imports_of_file, f4_dependencies, f5_dependents, f7_list_nodes, g1_count_nodes, g2_totals, e6_text_lines, h1_token_counts, i4_prompts, i6_candidates, i7_parsed_replies, m_contained, m_edges_of_kind)
+_FUNCTIONS = (e2_nodes_upsert, e3_edges_upsert, a3_languages, a6_id_parts, a6_decoded_nodes, a6_decoded_edges, g3_result_count, g3_import_names, h2_folded_words, i8_cache_size, m_by_risk, m_by_purpose, a7_find_keys, b18_module_paths, b2_extract_nodes, b10_extract_edges, d7_extract_diagnostics, c4_import_files, c6_resolved_calls, d4_changes, d6_build_report, f3_imports_of_file, f4_dependencies, f5_dependents, f7_list_nodes, g1_count_nodes, g2_totals, e6_text_lines, h1_token_counts, i4_prompts, i6_candidates, i7_parsed_replies, m_contained, m_edges_of_kind)
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
     "f1_callers_1": _walk(G.callers, "wrap_fault", 1),
     "f1_callers_2": _walk(G.callers, "lookup_setting", 2),
@@ -218,7 +254,7 @@ def _callees(name: str, depth: int) -> str:
     return f"{_GRAPH}, r(name, lvl) AS (SELECT '{name}', 1 UNION SELECT l.target_name, r.lvl + 1 FROM r JOIN links l ON l.source_name = r.name WHERE r.lvl < {depth}) SELECT {_SHOWN} FROM calls c JOIN nodes_now s ON s.id = c.source_id JOIN (SELECT DISTINCT name FROM r) x ON x.name = s.name JOIN nodes_now n ON n.name = c.target_name"
 
 
-_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents(coalesce({}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _DOCS = f"WITH {_NODES}, t AS (SELECT id, {_TOKENS.format('name')} AS a, {_TOKENS.format('file_path')} AS b FROM nodes_now)"
 
 
@@ -239,7 +275,39 @@ def _pairs(first: str, second: str) -> str:
     return one.format("a") + " + " + one.format("b")
 
 
+_OBJECT = "CASE WHEN json_valid({0}) AND json_type({0}) = 'OBJECT' THEN {0} END"
+_READ = _OBJECT.format("semantic_json")
+_KEY = "len(string_split({0}, '::')) >= 4 AND regexp_full_match(array_to_string(string_split({0}, '::')[4:], '::'), '[0-9a-fA-F]{{1,16}}')"
+_OPEN = f"o AS (SELECT *, string_split(id, '::')[-1] AS signature FROM (SELECT *, {_READ} AS record FROM nodes_now) WHERE kind IN ('function', 'method', 'class') AND coalesce(trim(json_extract_string(record, '$.summary')), '') = '')"
+_FENCED = r"regexp_replace(regexp_replace(semantic_json, '\s+$', ''), '^\s*```[a-zA-Z]*\s*|\s*```$', '', 'g')"
+_RECORDS = f"r AS (SELECT *, {_READ} AS record FROM nodes_now), z AS (SELECT * FROM r WHERE record IS NOT NULL)"
+_PROMPTS = f"""WITH {_NODES}, s AS (SELECT rel_path, any_value(content) AS content FROM files GROUP BY 1),
+c AS (SELECT rel_path, CASE WHEN strlen(content) > 2000 THEN left(content, (SELECT max(k) FROM range(0, 2001) t(k) WHERE strlen(left(content, k)) <= 2000)) || '...' ELSE content END AS snippet FROM s),
+n AS (SELECT nodes_now.*, {_OBJECT.format("metadata_json")} AS m, {_READ} AS record, snippet FROM nodes_now LEFT JOIN c ON c.rel_path = nodes_now.file_path WHERE kind IN ('function', 'method', 'class'))
+SELECT id, concat_ws(chr(10), 'Decorators: ' || array_to_string(from_json(json_extract(m, '$.decorators'), '["VARCHAR"]'), ', '), 'Decorator: ' || json_extract_string(m, '$.decorator'), CASE WHEN json_extract_string(m, '$.async') = 'true' THEN 'Async: true' END,
+upper(kind[1]) || kind[2:] || ': ' || name,
+'Parameters: ' || array_to_string(list_transform(from_json(json_extract(m, '$.parameters'), '[{{"name":"VARCHAR","type":"VARCHAR"}}]'), lambda p: p.name || coalesce(': ' || p.type, '')), ', '), 'Returns: ' || json_extract_string(m, '$.return_type'),
+'Docstring: ' || json_extract_string(record, '$.purpose'), 'File: ' || file_path || ':' || coalesce(line_start, 0), '```' || chr(10) || snippet || chr(10) || '```') AS prompt FROM n"""
+
 ORACLES = {
+    "a6_decoded_nodes": f"""SELECT CASE WHEN {_KEY.format('id')} THEN id ELSE concat_ws('::', file_path, '', name, repeat('0', 16)) END AS id,
+CASE WHEN kind IN ('file', 'module', 'function', 'method', 'class', 'struct', 'enum', 'enum_variant', 'trait', 'trait_impl', 'interface', 'type_alias', 'constant', 'static', 'variable') THEN kind ELSE 'function' END AS kind, name, file_path,
+CASE WHEN visibility IN ('private', 'protected') THEN visibility ELSE 'public' END AS visibility, coalesce({_OBJECT.format("metadata_json")}, '{{}}') AS metadata_json, {_READ} AS semantic_json
+FROM (SELECT DISTINCT id, kind, name, file_path, visibility, metadata_json, semantic_json FROM nodes)""",
+    "a6_decoded_edges": f"""SELECT CASE WHEN source_id IS NULL OR {_KEY.format('source_id')} THEN source_id ELSE 'unknown::::' || source_id || '::' || repeat('0', 16) END AS source_id,
+CASE WHEN target_id IS NULL OR {_KEY.format('target_id')} THEN target_id ELSE 'unknown::::' || target_id || '::' || repeat('0', 16) END AS target_id,
+CASE WHEN kind IN ('calls', 'imports', 'contains', 'inherits', 'instantiates', 'references', 'depends_on') THEN kind ELSE 'calls' END AS kind, coalesce({_OBJECT.format("metadata_json")}, '{{}}') AS metadata_json
+FROM (SELECT DISTINCT source_id, target_id, kind, metadata_json FROM edges)""",
+    "g3_result_count": f"SELECT count(*) AS n, count(DISTINCT id) AS distinct_ids FROM ({_callers('open_span', 1)})",
+    "g3_import_names": f"WITH {_EDGES} SELECT split_part(source_id, '::', 1) AS file, count(*) AS n, string_agg(split_part(target_id, '::', 3), ', ' ORDER BY split_part(target_id, '::', 3)) AS names FROM edges_now WHERE kind = 'imports' GROUP BY 1",
+    "h2_folded_words": f"WITH c AS (SELECT DISTINCT lower(strip_accents(word)) AS word FROM common_words WHERE word IS NOT NULL), t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS word FROM documents) SELECT word, count(DISTINCT doc_id) AS documents FROM t JOIN c USING (word) GROUP BY 1",
+    "i4_prompts": _PROMPTS,
+    "i6_candidates": f"WITH {_NODES}, {_OPEN} SELECT id, name, signature FROM o",
+    "i7_parsed_replies": f"""WITH b AS (SELECT id, {_FENCED} AS bare FROM (SELECT DISTINCT id, semantic_json FROM nodes WHERE id IS NOT NULL AND semantic_json IS NOT NULL)), v AS (SELECT id, {_OBJECT.format("bare")} AS r FROM b)
+SELECT id, json_extract_string(r, '$.purpose') AS purpose, json_extract_string(r, '$.summary') AS summary, coalesce(json_array_length(r, '$.risks'), 0)::INT AS risks FROM v WHERE r IS NOT NULL""",
+    "i8_cache_size": f"WITH {_NODES}, {_OPEN} SELECT count(*) AS n FROM (SELECT DISTINCT name, signature FROM o)",
+    "m_by_risk": f"WITH {_NODES}, {_RECORDS} SELECT id, name FROM z WHERE len(list_filter(from_json(json_extract(record, '$.risks'), '[{{\"severity\":\"VARCHAR\"}}]'), lambda x: lower(x.severity) IN ('high', 'critical'))) > 0",
+    "m_by_purpose": f"WITH {_NODES}, {_RECORDS} SELECT id, name FROM (SELECT *, {_TOKENS.format("json_extract_string(record, '$.purpose')")} AS w FROM z) WHERE list_contains(w, 'liefert') AND list_contains(w, 'zuruck')",
     "e2_nodes_upsert": f"WITH {_NODES} SELECT id, kind, name, file_path, line_start::VARCHAR AS line_start, line_end::VARCHAR AS line_end, visibility, metadata_json FROM nodes_now",
     "e3_edges_upsert": f"WITH {_EDGES} SELECT source_id, target_id, kind, metadata_json FROM edges_now",
     "a3_languages": "SELECT language, count(*) AS n FROM (SELECT DISTINCT path, CASE WHEN regexp_matches(path, '[.](py|pyi|pyx)$') THEN 'python' WHEN regexp_matches(path, '[.]rs$') THEN 'rust' END AS language FROM files) WHERE language IS NOT NULL GROUP BY 1",

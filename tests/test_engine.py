@@ -9,8 +9,9 @@ from skein.operators import graph as G
 from skein.operators import search as S
 from skein.operators import semantic as M
 from skein.operators.incremental import build
-from skein.operators.resolve import resolve_calls
-from skein.operators.store import latest, upsert
+from skein.operators.resolve import import_files, resolve_calls
+from skein.operators.store import Store, latest, upsert
+from skein.scratch import Scratch, sweep
 from skein.sources.repository import scan
 from skein.streaming.follow import FILES, follow
 from pyspark.sql import functions as F
@@ -227,3 +228,122 @@ def test_statements_around_errors_are_kept():
     assert names("x = '\0'\ndef f(): pass\n") == [("f", 2)]
     assert names("x = " + "(" * 300 + ")" * 300 + "\ny = 1\n") == [("y", 2)]
     assert names("<p>\n") == names("? ?") == []
+
+
+TWO = {
+    "alpha.py": "LIMIT = 2\n\n\ndef twice(x):\n    return x + x\n\n\ndef run(x):\n    y = twice(x)\n    return other(y)\n",
+    "beta.py": "from alpha import twice, run\n\n\nclass Box:\n    size = 0\n\n    def put(self, x):\n        self.last = run(x)\n        self.put(x)\n        return len(x)\n",
+}
+
+
+def test_counts_and_resolution_of_a_small_project(spark, tmp_path):
+    """Counts worked out by hand: locals are linked twice, a name is looked up in every file that is imported under any name."""
+    for path, text in TWO.items():
+        (tmp_path / path).write_text(text)
+    stats = build(spark, str(tmp_path), str(tmp_path / "store")).first()
+    e = Engine(spark, str(tmp_path / "store"))
+    assert (stats["total_nodes"], stats["total_edges"], e.nodes.count(), e.edges.count(), stats["calls_resolved"]) == (10, 16, 10, 14, 1)
+    kinds = {r["kind"]: r["n"] for r in e.count_nodes().collect()}
+    assert kinds == {"variable": 4, "function": 2, "file": 2, "class": 1, "method": 1}
+    assert {r["kind"]: r["count"] for r in e.edges.groupBy("kind").count().collect()} == {"contains": 8, "calls": 5, "imports": 1}
+    calls = {(r["source_id"].split("::")[2], json.loads(r["metadata_json"])["target_name"], "::".join(r["target_id"].split("::")[:3])) for r in e.edges.filter("kind = 'calls'").collect()}
+    assert calls == {("run", "twice", "alpha.py::::twice"), ("run", "other", "alpha.py::::other"), ("put", "run", "alpha.py::alpha::run"), ("put", "put", "beta.py::::self.put"), ("put", "len", "beta.py::::len")}
+    assert names(e.callers("twice", 2)) == ["put", "run"] and names(e.callees("put", 2)) == ["put", "run", "twice"]
+    assert [(r["file"], r["n"], r["names"]) for r in G.import_names(e.edges).collect()] == [("beta.py", 1, "twice")]
+    assert tuple(G.result_count(e.callers("twice", 2)).first()) == (2, 2)
+
+
+@pytest.mark.parametrize(
+    "text, kinds, edges",
+    [
+        ("def hello(): print('world')\n", [("hello", "function")], [("hello", "print", "calls")]),
+        ("class Foo:\n    def bar(self): baz()\n", [("Foo", "class"), ("bar", "method")], [("bar", "baz", "calls")]),
+        ("class Child(Parent): pass\n", [("Child", "class")], [("Child", "Parent", "inherits")]),
+        ("A = True\nB: str = '1.0'\n", [("A", "variable"), ("B", "variable")], []),
+        ("import os, sys, json\n", [], [("a.py", x, "imports") for x in ("os", "sys", "json")]),
+        ("from collections import defaultdict\n", [], [("a.py", "defaultdict", "imports")]),
+        ("def outer():\n    def inner(): pass\n", [("outer", "function"), ("inner", "function")], [("outer", "inner", "contains")]),
+        ("class Outer:\n    class Inner: pass\n", [("Outer", "class"), ("Inner", "class")], [("Outer", "Inner", "contains")]),
+    ],
+)
+def test_python_units(text, kinds, edges):
+    rows = X.Python("a.py", text, False).run().rows
+    assert sorted((r["name"], r["kind"]) for r in rows if r["what"] == "node" and r["kind"] != "file") == sorted(kinds)
+    got = {(r["source_id"].split("::")[2], r["target_id"].split("::")[2], r["kind"]) for r in rows if r["what"] == "edge"}
+    assert set(edges) <= got
+
+
+def test_imports_below_each_repository(spark):
+    """In a workspace of repositories names are looked up below the importing file's own folder; relative imports never resolve."""
+    edges = spark.createDataFrame(
+        [("r1/main.py::main::main.py::0", "r1/main.py::::lib::0", "imports", "{}", 0), ("r1/main.py::main::main.py::0", "r1/main.py::::f::0", "imports", '{"import_module": "pkg.mod"}', 1), ("r1/main.py::main::main.py::0", "r1/main.py::::g::0", "imports", '{"import_module": ".lib"}', 2), ("r1/main.py::main::main.py::0", "r1/main.py::::pkg::0", "imports", None, 3), (None, "x", "imports", None, 4),
+         ("r1/main.py::main::go::0", "r1/main.py::::lib.call::0", "calls", '{"target_name": "lib.call"}', 5), ("r1/main.py::main::go::0", "r1/main.py::::call::0", "calls", None, 6), (None, "r1/main.py::::call::0", "calls", '{"target_name": "call"}', 7)],
+        "source_id string, target_id string, kind string, metadata_json string, ord int",
+    )
+    nodes = spark.createDataFrame([(f"{p}::::{n}::0", k, n, p, 1) for p, n, k in [("r1/lib.py", "f", "file"), ("r2/lib.py", "f", "file"), ("r1/pkg/mod.py", "f", "file"), ("r1/pkg/__init__.py", "f", "file"), ("r1/main.py", "f", "file"), ("r2/lib.py", "call", "function"), ("r1/lib.py", "call", "function")]], "id string, kind string, name string, file_path string, ord int")
+    files = nodes.filter("kind = 'file'").select(F.col("file_path").alias("file"))
+    assert {tuple(r) for r in import_files(edges, files, many=True).collect()} == {("r1/main.py", "r1/lib.py"), ("r1/main.py", "r1/pkg/mod.py"), ("r1/main.py", "r1/pkg/__init__.py")}
+    assert import_files(edges, files).count() == 0
+    done = resolve_calls(edges, nodes, many=True).collect()
+    assert len(done) == edges.count() and [r["target_id"] for r in done if r["resolved"]] == ["r1/lib.py::::call::0"]
+    assert not [r for r in resolve_calls(edges, nodes).collect() if r["resolved"]]
+
+
+def test_diagnostics_of_mended_files_go(spark, tmp_path):
+    src, folder = tmp_path / "p", str(tmp_path / "s")
+    src.mkdir()
+    (src / "a.py").write_text("def f(:\n")
+    (src / "b.py").write_text("x = = 1\n")
+    build(spark, str(src), folder)
+    told = lambda: sorted(r["file_path"] for r in Store(spark, folder).table("diagnostics").collect())
+    assert told() == ["a.py", "b.py"]
+    (src / "a.py").write_text("def f(): pass\n")
+    build(spark, str(src), folder)
+    assert told() == ["b.py"]  # b.py wasn't read again and keeps its entry
+    (src / "b.py").unlink()
+    (src / "c.py").write_text("y = (\n")
+    build(spark, str(src), folder, prune=True)
+    assert told() == ["c.py"] and names(Engine(spark, folder).nodes.filter("kind = 'function'")) == ["f"]
+
+
+def test_a_batch_touches_its_buckets_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    schema = "id string, kind string, name string, ord int"
+    store.put(nodes=spark.createDataFrame([(f"f{i}.py::::n::0", "function", "n", 0) for i in range(200)], schema))
+    before = store.version()["nodes"]["parts"]
+    store.put(nodes=spark.createDataFrame([("f7.py::::n::0", "class", "m", 0), ("f7.py::::n::0", "class", "last", 1), (None, "x", "x", 0)], schema))
+    after = store.version()["nodes"]["parts"]
+    changed = [b for b in after if after[b] != before.get(b)]
+    assert 1 <= len(changed) <= 2 and store.table("nodes").count() == 200  # the null key's bucket is looked at, its row dropped
+    assert store.table("nodes").filter("name = 'last'").count() == 1
+    store.set_meta("a", "1")
+    store.vacuum(1)
+    assert store.table("nodes").count() == 200 and store.get_meta("a") == "1" and store.get_meta("b") is None
+    assert Store(spark, str(tmp_path / "none")).table("nodes") is None
+
+
+def test_decode_fallbacks(spark):
+    nodes = spark.createDataFrame([("bad", "odd", "n", "a.py", "hidden", "[1]", "{"), ("a.py::m::n::00ff", "enum", "n", "a.py", "private", '{"x": 1}', '{"purpose": "p"}'), (None, None, "n", "a.py", None, None, None)], "id string, kind string, name string, file_path string, visibility string, metadata_json string, semantic_json string")
+    got = [tuple(r) for r in ids.decoded_nodes(nodes).collect()]
+    assert got[0] == ("a.py::::n::" + "0" * 16, "function", "n", "a.py", "public", "{}", None)
+    assert got[1] == ("a.py::m::n::00ff", "enum", "n", "a.py", "private", '{"x": 1}', '{"purpose": "p"}') and got[2][:2] == ("a.py::::n::" + "0" * 16, "function")
+    edges = spark.createDataFrame([("name", "a.py::::f::0", "odd", "x"), (None, "b", "imports", '{"k": 2}')], "source_id string, target_id string, kind string, metadata_json string")
+    assert [tuple(r) for r in ids.decoded_edges(edges).collect()] == [("unknown::::name::" + "0" * 16, "a.py::::f::0", "calls", "{}"), (None, "unknown::::b::" + "0" * 16, "imports", '{"k": 2}')]
+
+
+def test_search_folds_diacritics_and_records_are_found(spark):
+    nodes = spark.createDataFrame([("1", "function", "a\u00f1adir_\u00c9l\u00e8ve", "src/\u00fcber.py", '{"purpose": "Liefert den Topf zur\u00fcck", "design_pattern": ["pool"], "risks": [{"severity": "High", "category": "c", "description": "d"}]}'), ("2", "function", "an\u0303adir", "b.py", '{"purpose": null}'), ("3", "class", "other", "c.py", "{bad")], "id string, kind string, name string, file_path string, semantic_json string")
+    found = lambda *t: sorted(r["id"] for r in S.search(nodes, t).collect())
+    assert found("anadir") == found("A\u00d1ADIR") == ["1", "2"] and found("eleve", "uber") == ["1"] and found("anad*") == ["1", "2"]
+    assert [r["id"] for r in M.by_purpose(nodes, ["zuruck", "topf"]).collect()] == ["1"] and M.by_purpose(nodes, ["none"]).count() == 0
+    assert [r["id"] for r in M.by_tag(nodes, "pool").collect()] == [r["id"] for r in M.by_risk(nodes, "high").collect()] == ["1"] and M.by_risk(nodes, "critical").count() == 0
+
+
+def test_old_intermediate_tables_are_swept(spark):
+    scratch = Scratch(spark, "old")
+    table = scratch.save(spark.range(3))
+    sweep(spark)
+    assert table.count() == 3
+    sweep(spark, hours=-1)
+    with pytest.raises(Exception):
+        spark.read.parquet(scratch.base + "/0001").count()

@@ -52,3 +52,19 @@ def test_empty_and_wide(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert H.hierarchy(df, "target_id", "source_id").count() == 0
     check(spark, [("hub", f"k{i}") for i in range(300)])
+
+
+def test_a_parent_of_half_of_the_rows(spark):
+    """The hub is hot in every round: it has leaves, chains and subtrees below it, and hangs deep itself."""
+    pairs = [(f"top{i}", f"top{i + 1}") for i in range(6)] + [("top6", "hub")]
+    pairs += [("hub", f"k{i}") for i in range(300)] + [(f"k{i}", f"m{i}") for i in range(0, 300, 3)] + [(f"m{i}", f"e{i}") for i in range(0, 300, 9)] + [("e0", "x0"), *((f"x{i}", f"x{i + 1}") for i in range(30))]
+    check(spark, pairs)
+
+
+def test_compressing_in_every_round_gives_the_same(spark):
+    rng = random.Random(8)
+    ids = [f"n{i}" for i in range(150)]
+    pairs = [(rng.choice(ids), x) for x in ids if rng.random() < 0.95] + [(f"c{i}", f"c{i + 1}") for i in range(25)]
+    df = spark.createDataFrame(pairs, SCHEMA)
+    one = {tuple(r) for r in H.hierarchy(df, "target_id", "source_id").collect()}
+    assert one == {tuple(r) for r in H.hierarchy(df, "target_id", "source_id", always=True).collect()}

@@ -53,3 +53,16 @@ def test_composite_keys_under_each_match(spark):
     with pytest.raises(ValueError):
         R.orphans(refs, keys, ["path"], ["path"], "other")
     assert R.orphans(refs.limit(0), keys, ["path"], ["path"]).count() == 0
+
+
+def test_hot_composite_keys(spark):
+    """A third of the references share one key of three columns; results are those without splitting."""
+    keys = spark.createDataFrame([("hub", 1, "x"), ("a", 1, None), ("a", 2, "y")], "f string, b int, n string")
+    rows = [("hub", 1, "x")] * 200 + [("gone", 1, "x")] * 200 + [("a", None, "y")] * 100 + [("a", None, "z")] * 50 + [("a", 2, "y"), ("a", 2, None), (None, None, None), ("o", 5, "x")]
+    refs = spark.createDataFrame(rows, "f string, b int, n string")
+    for match in R.MATCHES:
+        count = lambda share: {(r["f"], r["b"], r["n"], r["state"], r["null_mask"]): r["count"] for r in R.orphans(refs, keys, ["f", "b", "n"], ["f", "b", "n"], match, hot_share=share).groupBy("f", "b", "n", "state", "null_mask").count().collect()}
+        assert count(0.1) == count(2.0)
+    assert count(0.1)["gone", 1, "x", "missing", "xxx"] == 200 and count(0.1)["a", None, "y", "mixed", "x-x"] == 100
+    clash = refs.withColumnRenamed("f", "__hot9")
+    assert R.orphans(clash, keys, ["__hot9", "b"], ["f", "b"], "partial").filter("state = 'missing'").count() == 201
