@@ -63,6 +63,6 @@ def test_hot_composite_keys(spark):
     for match in R.MATCHES:
         count = lambda share: {(r["f"], r["b"], r["n"], r["state"], r["null_mask"]): r["count"] for r in R.orphans(refs, keys, ["f", "b", "n"], ["f", "b", "n"], match, hot_share=share).groupBy("f", "b", "n", "state", "null_mask").count().collect()}
         assert count(0.1) == count(2.0)
-    assert count(0.1)["gone", 1, "x", "missing", "xxx"] == 200 and count(0.1)["a", None, "y", "mixed", "x-x"] == 100
+    assert count(0.1)["gone", 1, "x", "missing", "xxx"] == 200 and count(0.1)["a", None, "z", "missing", "x-x"] == 50
     clash = refs.withColumnRenamed("f", "__hot9")
     assert R.orphans(clash, keys, ["__hot9", "b"], ["f", "b"], "partial").filter("state = 'missing'").count() == 201
