@@ -112,12 +112,12 @@ def vocabulary_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, id_column: str, text_column: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(``id_column``, ids array<int>): the token ids of each row's text, without special tokens.
+def encode_texts(docs: DataFrame, id_column: str, text_column: str, vocabulary: str = VOCABULARY, *kept: str) -> DataFrame:
+    """(``id_column``, ``kept``..., ids array<int>): the token ids of each row's text, without special tokens.
 
     Null and empty texts have an empty list. Special tokens' strings in a text
-    are ordinary text. Every row gives one row, repeats too; other columns are
-    ignored. Works row by row, so it shuffles nothing, whatever the skew.
+    are ordinary text. Every row gives one row, repeats too; other columns than
+    those kept are ignored. Works row by row, so it shuffles nothing, whatever the skew.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
@@ -126,11 +126,11 @@ def encode_texts(docs: DataFrame, id_column: str, text_column: str, vocabulary:
         for s in texts:
             yield pd.Series([encoder.encode(t) for t in s], dtype=object)
 
-    return spread(docs.select(id_column, text_column)).select(F.col(id_column), F.pandas_udf(batches, "array<int>")(F.col(text_column)).alias("ids"))
+    return spread(docs.select(id_column, *kept, text_column)).select(id_column, *kept, F.pandas_udf(batches, "array<int>")(F.col(text_column)).alias("ids"))
 
 
-def token_counts(encoded: DataFrame, by: DataFrame, id_column: str, group: str) -> DataFrame:
-    """(``group``, documents, tokens, empty): totals of ``encode_texts`` joined with ``by`` on ``id_column``."""
-    return encoded.join(by, id_column).groupBy(group).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids").cast("bigint")).alias("tokens"), F.sum((F.size("ids") == 0).cast("bigint")).alias("empty")
-    )
+def token_counts(docs: DataFrame, text_column: str, group: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(``group``, documents, tokens, empty): totals of ``encode_texts`` by a column of the same rows; only lengths are shuffled."""
+    named = docs.select(F.col(group).alias("__group"), F.col(text_column).alias("__text"))
+    sizes = encode_texts(named, "__group", "__text", vocabulary).select(F.col("__group").alias(group), F.size("ids").alias("__size"))
+    return sizes.groupBy(group).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("__size").cast("bigint")).alias("tokens"), F.sum((F.col("__size") == 0).cast("bigint")).alias("empty"))

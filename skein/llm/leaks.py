@@ -14,13 +14,14 @@ searched with bounded memory, and an ordinary set in one pass.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.scratch import spread
+from skein.scratch import Scratch, spread
 
 SPAN = 12
 BLOCK_PATTERNS = 200_000  # patterns a task holds at a time, about 100 MB
@@ -47,7 +48,7 @@ def item_passages(items: DataFrame, id_column: str, text_column: str, span: int
 class Search:
     """Wu-Manber tables of patterns that all have ``span`` words."""
 
-    def __init__(self, patterns: list[str], span: int):
+    def __init__(self, patterns: Sequence[str], span: int):
         self.span = span
         self.shift: dict[tuple[str, str], int] = {}
         self.bucket: dict[tuple[str, str], list[tuple[list[str], str]]] = {}
@@ -73,6 +74,12 @@ class Search:
         return found
 
 
+@lru_cache(1)
+def _search(patterns: tuple[str, ...], span: int) -> Search:
+    """One per Python worker and block, not one per task."""
+    return Search(patterns, span)
+
+
 def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, passages: DataFrame, span: int = SPAN, block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
     """(doc, passage): the distinct passages that occur in each document."""
     spark = docs.sparkSession
@@ -83,10 +90,10 @@ def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, passages: DataF
     texts, out = spread(texts), None
     for b in range(blocks):
         part = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
-        patterns = spark.sparkContext.broadcast([r[0] for r in part.collect()])  # at most about block_patterns rows
+        patterns = spark.sparkContext.broadcast(tuple(r[0] for r in part.collect()))  # at most about block_patterns rows
 
         def scan(batches: Iterator[pd.DataFrame], patterns=patterns) -> Iterator[pd.DataFrame]:
-            search = Search(patterns.value, span)
+            search = _search(patterns.value, span)
             for batch in batches:
                 rows = [(d, p) for d, t in zip(batch["doc"], batch["text"]) for p in search.find(words(t))]
                 yield pd.DataFrame(rows, columns=["doc", "passage"])
@@ -103,6 +110,6 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     texts and items with fewer than ``span`` words give nothing; repeated rows
     of either table change nothing; the number of shared passages is given.
     """
-    passages = item_passages(items, item_id, item_text, span)
+    passages = Scratch(docs.sparkSession, "leaks").save(item_passages(items, item_id, item_text, span))  # counted, collected in blocks and joined
     found = leaked_passages(docs, doc_id, doc_text, passages, span)
     return found.join(passages, "passage").groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.countDistinct("passage").alias("passages"))

@@ -59,8 +59,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens per source."""
-    docs = table(spark, d, "documents", "doc_id", "text", "source")
-    return encode.token_counts(p7_ids(spark, d), docs.select("doc_id", "source"), "doc_id", "source")
+    return encode.token_counts(table(spark, d, "documents", "text", "source"), "text", "source")
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
