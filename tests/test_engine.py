@@ -12,7 +12,7 @@ from skein.operators.incremental import build
 from skein.operators.resolve import import_files, resolve_calls
 from skein.operators.store import Store, latest, upsert
 from skein.scratch import Scratch, sweep
-from skein.sources.repository import scan
+from skein.sources.repository import _glob, scan
 from skein.streaming.follow import FILES, follow
 from pyspark.sql import functions as F
 
@@ -347,3 +347,10 @@ def test_old_intermediate_tables_are_swept(spark):
     sweep(spark, hours=-1)
     with pytest.raises(Exception):
         spark.read.parquet(scratch.base + "/0001").count()
+
+
+def test_ignore_patterns():
+    same = lambda p, *paths: [bool(_glob(p).fullmatch(x)) for x in paths]
+    assert same("*.py", "a.py", "b/a.py") == [True, False] and same("doc/*.py", "doc/a.py", "doc/x/a.py") == [True, False]
+    assert same("**/gen", "gen", "a/b/gen", "again") == [True, True, False] and same("a/**/b", "a/b", "a/x/y/b") == [True, True]
+    assert same("x/**", "x/y/z", "x") == [True, False] and same("[!a]?.rs", "bc.rs", "ac.rs", "b/.rs") == [True, False, False] and same("a+(b).py", "a+(b).py") == [True]
