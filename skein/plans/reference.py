@@ -13,7 +13,7 @@ from skein.operators import resolve as C
 from skein.operators import search as S
 from skein.operators import semantic as M
 from skein.operators.store import EDGE_KEY, NODE_KEY, latest
-from skein.scratch import spread
+from skein.scratch import Scratch, spread
 from skein.sources.tables import table
 
 CUTOFF = "2024-03-01 00:00:00"
@@ -147,7 +147,11 @@ def _shown(df: DataFrame) -> DataFrame:
 
 def _walk(how, name, depth):
     def run(spark, d):
-        return _shown(how(now_nodes(spark, d), now_edges(spark, d), name, depth))
+        nodes, edges = now_nodes(spark, d), now_edges(spark, d)
+        if depth > 1 or how is G.neighbors:  # several joins read the current state, which a store would hold: it is worked out once
+            scratch = Scratch(spark, "current")
+            nodes, edges = scratch.save(nodes.select(*G.SHOWN)), scratch.save(edges.filter("kind = 'calls'").select(*EDGE_KEY, "metadata_json"))
+        return _shown(how(nodes, edges, name, depth))
 
     return run
 
