@@ -120,6 +120,50 @@ def test_least_edits_against_brute_force():
     assert not exact and 1 <= cost <= g.repair("S", list("bbbbbbbb"))[0] and edits
 
 
+def test_least_edits_of_random_grammars():
+    """Against the costs of all spans, worked out until nothing changes."""
+    rng = random.Random(4)
+
+    def least(g, start, text):
+        n, big = len(text), 99
+        cost = {(x, i, j): big for x in g.rules for i in range(n + 1) for j in range(i, n + 1)}
+
+        def part(x, i, j):
+            if x in g.rules:
+                return cost[x, i, j]
+            return 1 if i == j else j - i - (x in text[i:j])
+
+        def whole(alt, i, j):
+            if not alt:
+                return j - i
+            return min(part(alt[0], i, k) + whole(alt[1:], k, j) for k in range(i, j + 1))
+
+        changed = True
+        while changed:
+            changed = False
+            for x, i, j in cost:
+                now = min(whole(alt, i, j) for alt in g.rules[x])
+                changed |= now < cost[x, i, j]
+                cost[x, i, j] = min(now, cost[x, i, j])
+        return cost[start, 0, n]
+
+    for _ in range(80):
+        rules = {x: [[rng.choice("STUabcd") for _ in range(rng.randint(1, 4))] for _ in range(2)] + [[rng.choice("abcd") for _ in range(rng.randint(1, 2))]] for x in "STU"}
+        g = compile_rules("\n".join(f"{x} : " + " | ".join(map(" ".join, alts)) for x, alts in rules.items()) + "\n")
+        text = [rng.choice("abcdx") for _ in range(rng.randint(1, 6))]
+        cost, exact, edits = g.repair("S", text)
+        assert exact and cost == len(edits) == least(g, "S", text), (rules, text)
+
+
+def test_searches_are_never_given_up(spark):
+    """A template in a Rust file: this search ended at a lower bound before."""
+    text = "< ! N N > < N > < N N = s > < N > N N < / N > < N > N N < / N > < N > N N < / N > < / N > < / N >"
+    cost, exact, edits = S.frame_repair("rs:CtxItem " + text)
+    assert (cost, exact, len(edits)) == (15, True, 15)
+    df = spark.createDataFrame([("a.py", "x = (1\n"), ("b.py", "x = 1\n"), ("c.rs", "fn f( {}\n"), ("c.rs", "fn f( {}\n"), ("d.py", None)], "rel_path string, content string")
+    assert sorted(r[0] for r in S.rejected(df).collect()) == sorted(r["rel_path"] for r in S.repaired(df).collect()) == ["a.py", "c.rs"]
+
+
 def test_repaired_files(spark):
     rows = [(f"r/g{i}.py", t) for i, t in enumerate(GOOD_PY)] + [(f"r/g{i}.rs", t) for i, t in enumerate(GOOD_RS)] + [(f"r/b{i}.py", t) for i, t in enumerate(BAD_PY)] + [(f"q/b{i}.rs", t) for i, t in enumerate(BAD_RS)]
     rows += [("r/null.py", None), ("r/x.txt", "}{"), ("r/b0.py", BAD_PY[0])]
