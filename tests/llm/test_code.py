@@ -334,6 +334,15 @@ def test_classifier_and_dirt(spark, monkeypatch):
     assert H.judged(files.limit(0), packages.limit(0)).count() == 0
 
 
+def test_all_rows_are_labelled_for_fitting(spark, monkeypatch):
+    """More rows than were sampled before (30,000), none left out."""
+    files = spark.range(31_000).selectExpr("concat('r', id % 9, '/m', id, '.py') AS rel_path", "concat('x = ', id) AS content")
+    packages = spark.createDataFrame([("p", "some third party text")], "package string, content string")
+    seen = []
+    monkeypatch.setattr(H, "fit", lambda rows, *rest: seen.append(rows.count()))
+    assert H.judged(files, packages).filter("score IS NULL AND NOT found").count() == 31_000 and seen == [31_001]
+
+
 def test_rules_take_no_part_in_judging(spark, monkeypatch):
     """With a given classifier, results are the same whatever the rules would say."""
     rows = [("r/vendor/a.py", "# Code generated by x. DO NOT EDIT.\nclass A:\n    pass\n"), ("r/src/b.py", "import os\n")]
