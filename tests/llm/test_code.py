@@ -352,3 +352,21 @@ def test_rules_take_no_part_in_judging(spark, monkeypatch):
     plain = sorted((r["rel_path"], r["score"]) for r in H.scored(files, bitmap, weights).collect())
     monkeypatch.setattr(H.Looked, "rules", lambda self: [True] * len(H.RULES))
     assert sorted((r["rel_path"], r["score"]) for r in H.scored(files, bitmap, weights).collect()) == plain and len(plain) == 2
+
+
+def test_features_are_judged_outside_python(spark):
+    """Scores are sums of weights times features; written features aren't sent to Python in batches again (they took an executor over its memory)."""
+    rows = [("r/vendor/a.py", "# Code by x\nclass A:\n    pass\n"), ("r/src/b.py", "import os, sys, re, ast, io\n"), ("r/c.py", "x")]
+    files = spark.createDataFrame(rows, "rel_path string, content string")
+    bitmap = spark.sparkContext.broadcast(known("import os, sys, re, ast, io").bitmap)
+    w = np.sin(np.arange(H.PLACES + 1))
+    judged = H.scored(files, bitmap, (w, 0.0))
+    got = {r["rel_path"]: r for r in judged.collect()}
+    for path, text in rows:
+        places, values = H.Looked(path, text, H.Known(bitmap.value)).features()
+        parts = {g: (w[places] * values)[(places >= H.STARTS[g]) & (places < H.STARTS[g] + n)].sum() for g, n in H.GROUPS.items()}
+        assert {g: got[path][g] for g in parts} == pytest.approx(parts) and got[path]["score"] == pytest.approx(sum(parts.values()) + w[-1])
+    assert got["r/src/b.py"]["known"] != 0
+    packages = spark.createDataFrame([("p", "import os, sys, re, ast, io")], "package string, content string")
+    for plan in (judged, H.judged(files, packages)):
+        assert "InPandas" not in plan._jdf.queryExecution().executedPlan().toString()
